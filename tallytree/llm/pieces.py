@@ -25,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common
+from .hashing import mixed
 
-MODEL, BEST, CACHE = "/opt/tokenizers/piece_bpe_32k.model", 4, 400_000
+MODEL, BEST, CACHE = "/opt/tokenizers/piece_bpe_32k.model", 4, 500_000
 _CHUNKS = re.compile(r" *[^ \n]+| +|\n")
 
 
@@ -49,6 +50,15 @@ class Pieces:
                 self.raw[i] = text.encode()
         self.begins = {p[:k] for p in self.table for k in range(1, len(p) + 1)}
         self.lowest = min((s for _, s in self.table.values() if s > -1e8), default=0.0) - 10
+        self.most = max(map(len, self.table))
+        known = [(h, i, sc) for p, (i, sc) in self.table.items() for h in [int(self._hashes([p], len(p))[0][-1])]]
+        self.hash, self.id, self.score = (np.array(x, t) for x, t in zip(zip(*known, strict=True), (np.uint64, np.int64, float), strict=True))
+        order = np.argsort(self.hash)
+        self.hash, self.id, self.score = self.hash[order], self.id[order], self.score[order]
+        slots = (self.hash >> np.uint64(44)).astype(np.int64)
+        self.at = np.zeros(1 << 20, np.int32)  # the last piece with these 20 bits; where several have them, a search tells
+        self.at[slots] = np.arange(len(slots))
+        self.shared = np.bincount(slots, minlength=1 << 20) > 1
         self.young: dict[str, tuple[bytes, float, float]] = {}
         self.old: dict[str, tuple[bytes, float, float]] = {}
 
@@ -96,22 +106,86 @@ class Pieces:
         ids = [i for p in reversed(path) for i in self._ids(p)]
         return np.array(ids, np.uint16).tobytes(), best[-1], float(loss)
 
-    def solved(self, chunks: list[str]) -> list[tuple[bytes, float, float]]:
-        out, young, old = [], self.young, self.old
-        get = young.get
-        for c in chunks:
-            r = get(c)
-            if r is None:
-                r = old.get(c) or self.chunk(c)
-                if len(c) <= 48:
-                    if len(young) >= CACHE // 2:
-                        self.old, self.young = young, {}
-                        young, old = self.young, self.old
-                        get = young.get
-                    young[c] = r
-            out.append(r)
+    @staticmethod
+    def _hashes(texts: list[str], width: int) -> list[np.ndarray]:
+        """Hashes of the first 1, 2, ... characters of each text (all of ``width`` characters), one array a text."""
+        codes = np.array(texts, f"<U{width}").view(np.uint32).reshape(len(texts), width)
+        v, h, out = mixed(codes.astype(np.uint64) + np.uint64(1)), np.zeros(len(texts), np.uint64), []
+        for k in range(width):
+            h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + v[:, k])
+            out.append(h)
+        return [np.array(x) for x in zip(*out, strict=True)]
+
+    def chunks_at_once(self, texts: list[str]) -> list[tuple[bytes, float, float]]:
+        """What ``chunk`` gives, for many short chunks: the same forward pass, vectorised over the chunks."""
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        order = np.argsort(-sizes, kind="stable")
+        size, width, n = sizes[order], int(sizes.max()), len(texts)
+        codes = np.array(texts, f"<U{width}").view(np.uint32).reshape(n, width)[order]
+        v = mixed(codes.T.astype(np.uint64) + np.uint64(1))
+        first, second = np.full((width + 1, n), -np.inf), np.full((width + 1, n), -np.inf)
+        back, ids = np.zeros((width + 1, n), np.int64), np.zeros((width + 1, n), np.int64)
+        first[0] = 0
+        odd = np.zeros(n, bool)
+        for a in range(width):
+            h = np.zeros(n, np.uint64)
+            for b in range(a + 1, min(width, a + self.most) + 1):
+                m = int(np.searchsorted(-size, -b, side="right"))  # the chunks of b characters at least come first
+                if not m:
+                    break
+                h = mixed(h[:m] * np.uint64(0x9E3779B97F4A7C15) + v[b - 1, :m])
+                slot = (h >> np.uint64(44)).astype(np.int64)
+                k = self.at[slot].astype(np.int64)
+                ok = self.hash[k] == h
+                if len(again := np.flatnonzero(~ok & self.shared[slot])):
+                    k[again] = np.minimum(np.searchsorted(self.hash, h[again]), len(self.hash) - 1)
+                    ok[again] = self.hash[k[again]] == h[again]
+                if b == a + 1:
+                    odd[:m] |= ~ok
+                hit = np.flatnonzero(ok)
+                k = k[hit]
+                total = first[a, hit] + self.score[k]
+                before = first[b, hit]
+                better = total > before
+                second[b, hit] = np.where(better, before, np.maximum(second[b, hit], total))
+                hit, k = hit[better], k[better]
+                first[b, hit], back[b, hit], ids[b, hit] = total[better], a, self.id[k]
+        at, loss = size.copy(), np.full(n, np.inf)
+        path, steps = np.zeros((n, width), np.uint16), np.zeros(n, np.int64)
+        row = np.arange(n)
+        while len(row := row[(at[row] > 0) & ~odd[row]]):
+            here = at[row]
+            loss[row] = np.minimum(loss[row], first[here, row] - second[here, row])
+            steps[row] += 1
+            path[row, width - steps[row]] = ids[here, row]
+            at[row] = back[here, row]
+        out: list = [None] * n
+        score = first[size, np.arange(n)].tolist()
+        for i, (j, k, lose, bad) in enumerate(zip(order.tolist(), (width - steps).tolist(), loss.tolist(), odd.tolist(), strict=True)):
+            out[j] = self.chunk(texts[j]) if bad else (path[i, k:].tobytes(), score[i], lose)
         return out
 
+    def solve(self, lists: list[list[str]]) -> None:
+        """Puts all chunks of a batch of texts into the cache; only texts of one batch may be looked up afterwards."""
+        need = {c for x in lists for c in x}
+        if len(self.young) + len(need) > CACHE:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        new: dict[int, list[str]] = {}
+        for c in need:
+            if c not in young:
+                if (r := old.get(c)) is not None:
+                    young[c] = r
+                else:
+                    new.setdefault(next((w for w in (8, 12, 20, 40) if len(c) <= w), 0), []).append(c)
+        for width, group in new.items():
+            for k in range(0, len(group), 1 << 14):
+                part = group[k : k + (1 << 14)]
+                young.update(zip(part, self.chunks_at_once(part) if width else map(self.chunk, part), strict=True))
+
+    def solved(self, chunks: list[str]) -> list[tuple[bytes, float, float]]:
+        return [self.young[c] for c in chunks]
+
     def n_best(self, text: str, n: int) -> list[tuple[list[int], float]]:
         """The best ``n`` segmentations of one lattice, best first, by backward A-star."""
         best, edges = self.lattice(text)
@@ -135,6 +209,7 @@ class Pieces:
         if not text:
             return [(np.zeros(0, np.uint16), 0.0)]
         chunks = _CHUNKS.findall(" " + text)
+        self.solve([chunks])
         found = self.solved(chunks)
         ids = [r[0] for r in found]
         score = float(sum([r[1] for r in found]))
@@ -173,11 +248,6 @@ class Pieces:
                     heapq.heappush(heap, (loss + lists[i][1][0][1] - lists[i][1][1][1], tick, i, 1, chosen))
         return out
 
-    def other_scores(self, text: str, n: int) -> list[float]:
-        chunks = _CHUNKS.findall(" " + text) if text else []
-        found = self.solved(chunks)
-        return [s for _, s in self._others(chunks, found, float(sum([r[1] for r in found])), n)]
-
     def decode(self, ids) -> str:
         raw = self.raw
         text = b"".join([raw[i] for i in ids])
@@ -198,8 +268,9 @@ def encode(docs: DataFrame, best: int = 1, model: str = MODEL) -> DataFrame:
     """(doc_id, ids, n_pieces, score, others): the ids of the best segmentation and, as structs, the following ones."""
 
     def make(batch: pa.RecordBatch) -> dict:
-        v = pieces(model)
-        found = [v.encode(t.decode(), best) for t in common.texts(batch.column(1))]
+        v, raw = pieces(model), [t.decode() for t in common.texts(batch.column(1))]
+        v.solve([_CHUNKS.findall(" " + t) for t in raw])
+        found = [v.encode(t, best) for t in raw]
         first = [x[0][0] for x in found]
         ends = np.concatenate([[0], np.cumsum([len(x) for x in first])]).astype(np.int32)
         ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*first, np.zeros(0, np.uint16)]).astype(np.int32)))
@@ -225,10 +296,10 @@ def digests(docs: DataFrame, best: int = BEST, model: str = MODEL) -> DataFrame:
     """What ``encode`` and ``decode`` give, without the ids themselves (their sha256 is over uint16, little-endian)."""
 
     def make(batch: pa.RecordBatch) -> dict:
-        v, rows = pieces(model), []
-        for raw in common.texts(batch.column(1)):
-            text = raw.decode()
-            chunks = _CHUNKS.findall(" " + text) if text else []
+        v, rows, raw = pieces(model), [], [t.decode() for t in common.texts(batch.column(1))]
+        lists = [_CHUNKS.findall(" " + t) if t else [] for t in raw]
+        v.solve(lists)
+        for text, chunks in zip(raw, lists, strict=True):
             found = v.solved(chunks)
             ids, score = b"".join([r[0] for r in found]), float(sum([r[1] for r in found]))
             others = [s for _, s in v._others(chunks, found, score, best)]
