@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import base64
 
-import numpy as np
-
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed values of the vocabulary: how texts are cut before merging, and the id that ends a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -25,9 +23,10 @@ def encoding(path: str = VOCABULARY):
     return _loaded[path]
 
 
-def ids(text: str, path: str = VOCABULARY) -> np.ndarray:
-    return encoding(path).encode_to_numpy(text, disallowed_special=())
+def packed(text: str, path: str = VOCABULARY) -> bytes:
+    """The ids of a text as little-endian uint16."""
+    return encoding(path).encode_to_numpy(text, disallowed_special=()).astype("<u2").tobytes()
 
 
 def count(text: str, path: str = VOCABULARY) -> int:
-    return len(ids(text, path))
+    return len(encoding(path).encode_to_numpy(text, disallowed_special=()))

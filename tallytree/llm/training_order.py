@@ -1,16 +1,16 @@
 """Token-ID / binary output (1): sequences in a random but replayable training order, in fixed-stride shards.
 
 Each text's token ids and an end token are cut into sequences of ``length`` tokens, the last one padded.
-Sequences are numbered 0..N-1 by partition and place. A keyed Feistel network over the least even power of
-two not below N, with cycle-walking (numbers from N on are sent through again), is a permutation of 0..N-1
-that needs no table: it gives every sequence its slot. A shard is a range of slots; each is written
-by one task as one file in which slot s stands at (s mod per_shard) * stride. Reading in order, from any
-slot on, is sequential.
+A sequence's number is its partition of the scan and its place there. A keyed Feistel network over the
+least even power of two not below the count of numbers, with cycle-walking (what falls outside is sent
+through again), permutes the numbers without any table. A shard is a range of permuted numbers; one task
+sorts it and writes it as one file with a fixed stride. A sequence's slot is its rank in that order: the
+shard's first slot, known from the shards' sizes, and its place in the file. So texts are tokenised
+once, the tokens are shuffled once, and no pass is needed to count them beforehand. Reading in order,
+from any slot on, is sequential.
 
-Texts are read twice, first to count and then to write, so that no tokens are stored in between: the
-numbering needs only the sequences of each partition. The second pass fails rather than misnumbers if
-a partition doesn't have what was counted; an input that isn't a plain scan is written to the shared folder
-first. Shards are written aside and renamed, so that a repeated task replaces its file.
+An input that isn't a plain scan is written to the shared folder first, so that a repeated task numbers as
+before. Shards are written aside and renamed, so that it replaces its file.
 
 Defined results: null and empty texts give one sequence with the end token alone; repeated rows give
 sequences each; null ids stay null; an empty table gives no shard; other columns are ignored.
@@ -32,11 +32,13 @@ from pyspark.sql import functions as F
 from . import common, tokens
 from .hashing import mixed
 
-LENGTH, PER_SHARD, ROUNDS, KEY = 256, 32768, 6, 20240501
+LENGTH, SHARD_BYTES, ROUNDS, KEY = 256, 16 << 20, 6, 20240501
+#: Bits of a sequence's number for its place in its partition.
+PLACE = 36
 
 
 class Permutation:
-    """A keyed bijection of 0..n-1 and its inverse, on arrays."""
+    """A keyed bijection of 0..n-1, n below 2^62, and its inverse, on arrays."""
 
     def __init__(self, n: int, key: int = KEY, rounds: int = ROUNDS) -> None:
         self.n = n
@@ -63,7 +65,7 @@ class Permutation:
         return self._walk(slots, self.keys[::-1])
 
 
-MANIFEST = "slot long, shard long, byte_offset long, doc_id long, seq_no int, n_tokens int, crc32 long"
+RAW = "shard int, place long, doc_id long, seq_no int, n_tokens int, crc32 long"
 
 
 def _stable(docs: DataFrame) -> tuple[DataFrame, str | None]:
@@ -74,91 +76,83 @@ def _stable(docs: DataFrame) -> tuple[DataFrame, str | None]:
     return rows, None
 
 
-def materialise(docs: DataFrame, out: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
-    """Writes shards and a manifest (one row for each sequence) under ``out``; returns the manifest."""
+def materialise(docs: DataFrame, out: str, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, key: int = KEY, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
+    """Writes shards of about ``shard_bytes`` and a manifest under ``out``; returns the manifest, one row for each sequence."""
     spark = docs.sparkSession
     rows, temporary = _stable(docs)
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 0
-        for batch in common.sliced(batches):
-            n += sum(tokens.count(t.decode(), vocabulary) // length + 1 for t in common.texts(batch.column(1)))
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], names=["part", "n"])
-
-    sizes = {r.part: r.n for r in rows.mapInArrow(counted, "part int, n long").collect()}  # a row a partition
-    starts, total = {}, 0
-    for part in sorted(sizes):
-        starts[part] = total
-        total += sizes[part]
-    order = Permutation(total, key)
+    stride, pad = 2 * length, tokens.END.to_bytes(2, "little")
+    # sizes in files, compressed: about as many bytes again come out
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    shards = max(1, min(1 << 20, -(-3 * size // (2 * shard_bytes))))
+    parts = max(1, rows.rdd.getNumPartitions())
+    order = Permutation(parts << PLACE, key)
+    width = -(-order.n // shards)
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        at = starts.get(part, 0)
-        end = at + sizes.get(part, 0)
+        at = TaskContext.get().partitionId() << PLACE
         for batch in common.sliced(batches):
-            ids, numbers, payloads, counts = [], [], [], []
+            ids, numbers, payloads = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), common.texts(batch.column(1)), strict=True):
-                own = np.append(tokens.ids(text.decode(), vocabulary), tokens.END).astype("<u2").tobytes()
-                n = -(-len(own) // (2 * length))
+                own = tokens.packed(text.decode(), vocabulary) + pad
+                n = -(-len(own) // stride)
                 ids += [doc] * n
                 numbers += range(n)
-                payloads += [own[2 * length * k : 2 * length * (k + 1)] for k in range(n)]
-            slots = order.slots(np.arange(at, at + len(ids), dtype=np.uint64)) if ids else np.zeros(0, np.int64)
+                payloads += [own[stride * k : stride * (k + 1)] for k in range(n)]
+            permuted = order.slots(np.arange(at, at + len(ids), dtype=np.uint64))
             at += len(ids)
-            if at > end:
-                break
-            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array((slots // per_shard).astype(np.int32)), pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(payloads, pa.binary())], names=["slot", "shard", "doc_id", "seq_no", "payload"])
-        if at != end:
-            raise RuntimeError(f"partition {part} has not the {sizes.get(part, 0)} sequences counted before")
-
-    stride = 2 * length
+            yield pa.RecordBatch.from_arrays([pa.array(permuted), pa.array((permuted // width).astype(np.int32)), pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(payloads, pa.binary())], names=["key", "shard", "doc_id", "seq_no", "payload"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = pa.fs.FileSystem.from_uri(out)
-        shard, stream, aside, last = -1, None, "", -1
+        fs.create_dir(top, recursive=True)
+        shard, stream, aside, done = -1, None, "", 0
 
         def close() -> None:
             if stream is not None:
                 stream.close()
                 fs.move(aside, f"{top}/shard-{shard:08d}.bin")
 
-        pad = np.array([tokens.END], "<u2").tobytes()
-        fs.create_dir(top, recursive=True)
         for batch in batches:
-            slots, payloads = batch.column(0).to_pylist(), batch.column(4).to_pylist()
-            for slot, payload in zip(slots, payloads, strict=True):
-                if slot // per_shard != shard:
+            of, payloads = batch.column(1).to_pylist(), batch.column(4).to_pylist()
+            places = []
+            for own, payload in zip(of, payloads, strict=True):
+                if own != shard:
                     close()
-                    shard = slot // per_shard
-                    aside = f"{top}/_{shard:08d}-{uuid.uuid4().hex}"
-                    stream, last = fs.open_output_stream(aside), shard * per_shard - 1
-                if slot != last + 1:
-                    raise RuntimeError(f"slot {last + 1} is missing")
-                last = slot
+                    shard, done, aside = own, 0, f"{top}/_{own:08d}-{uuid.uuid4().hex}"
+                    stream = fs.open_output_stream(aside)
                 stream.write(payload + pad * ((stride - len(payload)) // 2))
-            s = np.array(slots, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s // per_shard), pa.array(s % per_shard * stride), batch.column(2), batch.column(3), pa.array([len(p) // 2 for p in payloads], pa.int32()), pa.array([zlib.crc32(p) for p in payloads], pa.int64())], names=["slot", "shard", "byte_offset", "doc_id", "seq_no", "n_tokens", "crc32"])
+                places.append(done)
+                done += 1
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(places, pa.int64()), batch.column(2), batch.column(3), pa.array([len(p) // 2 for p in payloads], pa.int32()), pa.array([zlib.crc32(p) for p in payloads], pa.int64())], names=["shard", "place", "doc_id", "seq_no", "n_tokens", "crc32"])
         close()
 
-    shards = max(1, -(-total // per_shard))
-    dealt = rows.mapInArrow(sequences, "slot long, shard int, doc_id long, seq_no int, payload binary").repartitionById(shards, "shard").sortWithinPartitions("slot")
-    dealt.mapInArrow(write, MANIFEST).write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/manifest")
+    dealt = rows.mapInArrow(sequences, "key long, shard int, doc_id long, seq_no int, payload binary").repartitionById(shards, "shard").sortWithinPartitions("shard", "key")
+    dealt.mapInArrow(write, RAW).write.option("compression", "zstd").parquet(f"{out}/sequences")
     if temporary:
         common.remove(spark, temporary)
-    return spark.read.schema(MANIFEST).parquet(f"{out}/manifest")
+    # a row for each shard: its first slot
+    sizes = sorted((r.shard, r["count"]) for r in spark.read.schema(RAW).parquet(f"{out}/sequences").groupBy("shard").count().collect())
+    firsts = np.concatenate([[0], np.cumsum([n for _, n in sizes])]).astype(int).tolist()
+    spark.createDataFrame([(shard, firsts[k], n) for k, (shard, n) in enumerate(sizes)], "shard int, first long, n long").repartition(1).write.option("compression", "zstd").parquet(f"{out}/shards")
+    return manifest(spark, out, length)
+
+
+def manifest(spark: SparkSession, out: str, length: int = LENGTH) -> DataFrame:
+    """(slot, shard, byte_offset, doc_id, seq_no, n_tokens, crc32) of what stands under ``out``."""
+    shards = spark.read.schema("shard int, first long, n long").parquet(f"{out}/shards").select("shard", "first")
+    rows = spark.read.schema(RAW).parquet(f"{out}/sequences").join(F.broadcast(shards), "shard")
+    return rows.select((F.col("first") + F.col("place")).alias("slot"), "shard", (F.col("place") * 2 * length).alias("byte_offset"), "doc_id", "seq_no", "n_tokens", "crc32")
 
 
-def read(out: str, slot: int, n: int, length: int = LENGTH, per_shard: int = PER_SHARD) -> Iterator[np.ndarray]:
+def read(spark: SparkSession, out: str, slot: int, n: int, length: int = LENGTH) -> Iterator[np.ndarray]:
     """The ``n`` sequences from ``slot`` on, padded, one after another: where a reader stopped it goes on."""
     fs, top = pa.fs.FileSystem.from_uri(out)
-    while n > 0:
-        with fs.open_input_file(f"{top}/shard-{slot // per_shard:08d}.bin") as f:
-            f.seek(slot % per_shard * 2 * length)
-            some = min(n, per_shard - slot % per_shard)
-            got = np.frombuffer(f.read(some * 2 * length), "<u2").reshape(-1, length)
-        yield from got
-        slot, n = slot + some, n - some
+    for shard in spark.read.parquet(f"{out}/shards").where((F.col("first") + F.col("n") > slot) & (F.col("first") < slot + n)).orderBy("first").collect():
+        at = max(slot, shard.first)
+        some = min(slot + n, shard.first + shard.n) - at
+        with fs.open_input_file(f"{top}/shard-{shard.shard:08d}.bin") as f:
+            f.seek((at - shard.first) * 2 * length)
+            yield from np.frombuffer(f.read(some * 2 * length), "<u2").reshape(-1, length)
 
 
 def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
