@@ -109,6 +109,17 @@ def occurrences(rows: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) ->
     return rows.mapInArrow(run, OCCURRENCES)
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, c) to (h, c, n): the copies within a batch in one row."""
+    for batch in batches:
+        if batch.num_rows:
+            pairs = np.column_stack([np.asarray(batch.column(k)) for k in (0, 1)])
+            order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+            pairs = pairs[order]
+            first = np.flatnonzero(np.append(True, (pairs[1:] != pairs[:-1]).any(axis=1)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[first, 0])), pa.array(np.ascontiguousarray(pairs[first, 1])), pa.array(np.diff(np.append(first, len(pairs))))], names=["h", "c", "n"])
+
+
 # --- deep-shallow sorting --------------------------------------------------------------------------------
 
 
@@ -302,10 +313,13 @@ def _rows(docs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group: int = GROUP) -> DataFrame:
     """(doc_id, t, spans): for the rows with any, the spans [a, b) of bytes in strings of ``length`` that start elsewhere too. May overlap."""
     spark, rows = docs.sparkSession, _rows(docs)
-    by_anchor, by_content = Window.partitionBy("h"), Window.partitionBy("h", "c")
-    found = occurrences(rows, length, anchor).repartition("h")
-    found = found.withColumn("copies", F.count("*").over(by_content)).withColumn("mixed", F.min("c").over(by_anchor) != F.max("c").over(by_anchor))
-    found, path = common.written(found.where((F.col("copies") > 1) | F.col("mixed")), "stretches")
+    all_, everything = common.written(occurrences(rows, length, anchor), "stretches")
+    # counts alone tell which stretches matter; copies are summed up before they meet
+    by_anchor = Window.partitionBy("h")
+    kinds = all_.select("h", "c").mapInArrow(_summed, "h long, c long, n long").repartition("h").groupBy("h", "c").agg(F.sum("n").alias("copies"))
+    kinds = kinds.withColumn("mixed", F.count("*").over(by_anchor) > 1).where((F.col("copies") > 1) | F.col("mixed"))
+    found, path = common.written(all_.join(kinds, ["h", "c"]), "repeats")
+    common.remove(spark, everything)
     # one stretch of each content where an anchor has several
     ones = found.where("mixed").groupBy("h", "c").agg(F.min(F.struct("doc_id", "t", "a", "n", "o")).alias("x")).select("h", "c", "x.*")
     ones = common.checkpointed(ones.withColumn("size", F.count("*").over(by_anchor)))
