@@ -1,0 +1 @@
+"""Expressions, exact samplers and statistics of noise."""

@@ -1,0 +1 @@
+"""The relational and numerical operators of the engine."""

@@ -1,0 +1 @@
+"""The engine's facade, and the registered queries."""
