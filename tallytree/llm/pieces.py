@@ -189,9 +189,9 @@ class Pieces:
     def n_best(self, text: str, n: int) -> list[tuple[list[int], float]]:
         """The best ``n`` segmentations of one lattice, best first, by backward A-star."""
         best, edges = self.lattice(text)
-        heap, out, tick = [(-best[-1], 0, len(text), 0.0, None)], [], 0
+        heap, out, tick = [(-best[-1], len(text), 0, 0.0, None)], [], 0  # of equal scores the one nearest to the start goes first
         while heap and len(out) < n:
-            minus, _, at, done, path = heapq.heappop(heap)
+            minus, at, _, done, path = heapq.heappop(heap)
             if at == 0:
                 ids = []
                 while path is not None:
@@ -201,7 +201,7 @@ class Pieces:
                 continue
             for a, s in edges[at]:
                 tick += 1
-                heapq.heappush(heap, (-(best[a] + s + done), tick, a, done + s, (text[a:at], path)))
+                heapq.heappush(heap, (-(best[a] + s + done), a, tick, done + s, (text[a:at], path)))
         return out
 
     def encode(self, text: str, n: int = 1) -> list[tuple[np.ndarray, float]]:

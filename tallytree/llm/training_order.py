@@ -71,9 +71,9 @@ RAW = "shard int, place long, doc_id long, seq_no int, n_tokens int, crc32 long"
 def _stable(docs: DataFrame) -> tuple[DataFrame, str | None]:
     rows = common.id_and_text(docs)
     plan = rows._jdf.queryExecution().executedPlan().toString()
-    if "Exchange" in plan or "AdaptiveSparkPlan" in plan or "Python" in plan or "Arrow" in plan:
-        return common.written(rows, "texts")
-    return rows, None
+    if "FileScan" in plan and not any(x in plan for x in ("Exchange", "AdaptiveSparkPlan", "Python", "Arrow", "ExistingRDD")):
+        return rows, None
+    return common.written(rows, "texts")
 
 
 def materialise(docs: DataFrame, out: str, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, key: int = KEY, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
