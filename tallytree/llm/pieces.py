@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common
 from .hashing import mixed
 
-MODEL, BEST, CACHE = "/opt/tokenizers/piece_bpe_32k.model", 4, 500_000
+MODEL, BEST, CACHE = "/opt/tokenizers/piece_bpe_32k.model", 4, 150_000
 _CHUNKS = re.compile(r" *[^ \n]+| +|\n")
 
 

@@ -36,7 +36,7 @@ from . import common
 from .hashing import mixed, rolled
 
 LENGTH, ANCHOR, SHALLOW, GROUP = 400, 128, 64, 60_000
-_PIECE = 1 << 22
+_PIECE = 1 << 21
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
 _LOW = np.uint64((1 << 24) - 1)
 
