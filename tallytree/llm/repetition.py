@@ -175,7 +175,7 @@ CONTRACT = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_re
 
 def quality_rules(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """One row per document: the base counts, the covered words, the longest repeat and the verdict."""
-    return common.map_rows(common.id_and_text(docs), lambda b: _judge(b, limits), SCHEMA)
+    return common.map_rows(common.id_and_text(docs), lambda b: _judge(b, limits), SCHEMA, most=1 << 20)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
