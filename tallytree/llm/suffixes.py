@@ -195,7 +195,7 @@ def deep_shallow(texts: list[bytes], members: list[int], shallow: int = SHALLOW)
     work = [(members, 0)]
     while work:
         group, depth = work.pop()
-        if len(group) == 1:
+        if len(group) <= 1:
             out += group
         elif depth >= shallow:
             out += _blind(texts, group, depth)
