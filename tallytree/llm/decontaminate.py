@@ -119,7 +119,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
             return {"doc_id": batch.column(0)} | {k: [x[i] for x in found] for i, k in enumerate(("n_words", "n_hit", "n_items", "items_sha256", "contaminated"))}
 
         return common.map_rows(rows, make, SCHEMA)
-    # a larger benchmark: a scan for each block, then all hits of a document together
+    return _in_blocks(rows, benchmark, window, block_words).drop("h")
+
+
+def _in_blocks(rows: DataFrame, benchmark: DataFrame, window: int, block_words: int) -> DataFrame:
+    """For a larger benchmark: a scan for each block, then all hits of a row together. ``h`` is a hash of the text."""
+    sc, blocks = rows.sparkSession.sparkContext, _blocks(benchmark, block_words)
+    block, following = next(blocks), next(blocks, None)
     rows = rows.select("doc_id", "text", F.xxhash64("text").alias("h"))
     hits = None
     while block is not None:
@@ -136,14 +142,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         block, following = following, next(blocks, None)
     hits = hits.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("dh")).agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
     counted = common.map_rows(rows, lambda b: {"doc_id": b.column(0), "h": b.column(2), "n_words": [len(words_of(t)) for t in common.texts(b.column(1))]}, "doc_id long, h long, n_words long")
-    joined = counted.join(hits, counted.doc_id.eqNullSafe(hits.d) & (counted.h == hits.dh), "left").select("doc_id", "n_words", "found")
+    joined = counted.join(hits, counted.doc_id.eqNullSafe(hits.d) & (counted.h == hits.dh), "left").select("doc_id", "n_words", "found", "h")
 
     def finish(batches):
         for batch in batches:
             found = [_verdict(n, [(x["a"], x["n"], x["item"]) for x in f or ()]) for n, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()))), batch.column(3)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "h"])
 
-    return joined.mapInArrow(finish, SCHEMA)
+    return joined.mapInArrow(finish, SCHEMA + ", h long")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -152,8 +158,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     if len(blocks) <= 1:
         shared = docs.sparkSession.sparkContext.broadcast(Windows(next(_blocks(benchmark, block_words)), window))
         return common.kept_rows(docs, lambda text: [not _verdict(n, x)[-1] for n, x in shared.value.scan(common.texts(text))])
-    bad = contamination(docs.select("doc_id", "text"), benchmark, window, block_words).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__bad")), "left_anti")
+    bad = _in_blocks(common.id_and_text(docs), benchmark, window, block_words).where("contaminated").select(F.col("doc_id").alias("__bad"), F.col("h").alias("__h")).distinct()
+    own = F.xxhash64(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__bad")) & (own == F.col("__h")), "left_anti")
 
 
 def _sizes(benchmark: DataFrame, most: int) -> Iterator[int]:

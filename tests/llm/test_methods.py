@@ -175,6 +175,12 @@ def test_windows_in_blocks(spark):
     kept = {r.doc_id for r in whole if not r.contaminated}
     for words in (100, 10**6):
         assert {r.doc_id for r in decontaminate.drop_contaminated(docs, bench, block_words=words).collect()} == kept
+    # rows with one id, or none, are judged one by one
+    passage = bench.first().text
+    rows = spark.createDataFrame([(i, t) for i in (7, None) for t in (passage, "a clean text of its own", None)], "doc_id long, text string")
+    for words in (100, 10**6):
+        left = decontaminate.drop_contaminated(rows, bench, block_words=words).collect()
+        assert sorted(left, key=repr) == sorted(((i, t) for i in (7, None) for t in ("a clean text of its own", None)), key=repr)
     assert decontaminate.remove_spans("One, two THREE four-five.", [(1, 2), (4, 1)]) == "One,  four-."
 
 
