@@ -41,7 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder; Spark removes the files once unused."""
+    """``df`` written to the shared folder; Spark removes the files once unused if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common
 from .components import components
@@ -209,7 +210,8 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     prints = fingerprints(again.select("doc_id", "text")).distinct()
     chosen = prints.join(first, prints.doc_id.eqNullSafe(first.doc_id) & (prints.fp == first.fp), "left_semi").select(F.col("doc_id").alias("__id"), "fp")
     told = _with_fingerprint(again).join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("fp")), "left_semi")
-    return kept.unionByName(told.withColumn("__text", own[1]).orderBy("__text").dropDuplicates(["doc_id", "__fp"]).select(*names))
+    least = Window.partitionBy("doc_id", "__fp").orderBy("__text")
+    return kept.unionByName(told.withColumn("__text", own[1]).withColumn("__place", F.row_number().over(least)).where("__place = 1").select(*names))
 
 
 def _with_fingerprint(docs: DataFrame) -> DataFrame:
