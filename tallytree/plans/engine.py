@@ -21,7 +21,7 @@ class TopDown:
     """Settings first, then ``run``.
 
     ``hierarchy`` lists the levels below the root, ``queries`` the attributes of a cell. ``public_cells``
-    (rows of query values) and ``public_nodes`` (rows of paths) replace what would be taken from the records.
+    (rows of query values) replaces the cells that would be taken from the records.
     """
 
     spark: SparkSession
