@@ -6,9 +6,9 @@ words are learned. Forward-backward gives each word's posterior, so that code-sw
 for each word; a document's language is the one with the largest mean posterior, which is its score.
 Emissions and forward-backward are vectorised over many texts at once. Chains are cut after ``CHAIN`` words.
 
-Training takes at most ``per_language`` documents of each language (documented bound, chosen by a hash
-of doc_id) and at most ``words`` words of each, from rows that aren't held out, and joins spans of different
-documents to chains, so that switches are seen. Defined results: null texts and texts without a letter
+Training takes the whole texts of at most ``per_language`` documents of each language (documented bound,
+chosen by a hash of doc_id), from rows that aren't held out, and joins spans of different documents to
+chains, so that switches are seen. Defined results: null texts and texts without a letter
 are ``und`` with score 0; so are all texts if nothing can be learned; null languages aren't learned
 from; ties go to the language that sorts first; repeated rows are predicted one by one; other columns
 are ignored.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import common
 from .hashing import mixed, rolled
 
-CHAIN, GRAMS, BITS = 64, (2, 3, 4, 5), 18
+CHAIN, GRAMS, BITS, RUN = 64, (2, 3, 4, 5), 18, 1 << 17
 _FLAT = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _LETTER = re.compile(r"[^\W\d_]")
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
@@ -110,34 +110,36 @@ def posteriors(emissions: np.ndarray, lengths: np.ndarray, steps: np.ndarray, fi
     return gamma, moved * A, gamma[start].sum(axis=0), float(np.log(scale).sum() + top.sum())
 
 
-def fit(chains: list[tuple[list[bytes], list[int]]], languages: list[str], rounds: int = 40, rate: float = 0.3, ridge: float = 1e-6) -> Chain:
-    """Maximum likelihood by adaptive gradient steps over all chains at once."""
+def fit(kinds: list[bytes], of: np.ndarray, gold: np.ndarray, lengths: np.ndarray, languages: list[str], rounds: int = 40, rate: float = 0.3, ridge: float = 1e-6) -> Chain:
+    """Maximum likelihood by adaptive gradient steps over all chains at once.
+
+    kinds: the different words; of, gold: number and language of each word of the chains, laid end to end.
+    The gradient is summed up over runs of chains of about ``RUN`` words, so that memory has two small numbers a word.
+    """
     k = len(languages)
     model = Chain(languages, np.zeros((1 << BITS, k), np.float32), np.zeros((k, k)), np.zeros(k))
-    if k < 2 or not chains:
+    if k < 2 or not len(lengths):
         return model
-    words = [w for c, _ in chains for w in c]
-    gold = np.array([y for _, ys in chains for y in ys])
-    lengths = np.array([len(c) for c, _ in chains])
-    heads = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    kinds = {w: None for w in words}
-    ids = {w: j for j, w in enumerate(kinds)}
-    of = np.array([ids[w] for w in words])
-    kind, feature = occurrences(list(kinds))
-    inside = np.ones(len(words), bool)
-    inside[heads] = False
+    n, ends = len(of), np.cumsum(lengths)
+    cuts = np.unique(np.searchsorted(ends, np.arange(RUN, n + RUN, RUN)).clip(max=len(ends) - 1) + 1)
+    runs = [(a, b, int(ends[a] - lengths[a]), int(ends[b - 1])) for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)]
+    kind, feature = occurrences(kinds)
+    inside = np.ones(n, bool)
+    inside[ends - lengths] = False
     at = np.flatnonzero(inside)
-    seen = np.zeros((k, k))
-    np.add.at(seen, (gold[at - 1], gold[at]), 1)
-    one = np.eye(k)[gold]
+    seen = np.bincount(gold[at - 1].astype(np.int64) * k + gold[at], minlength=k * k).reshape(k, k)
     W, squares = np.zeros((1 << BITS, k)), np.full((1 << BITS, k), 1e-8)
     B, sb = np.zeros((k, k)), np.full((k, k), 1e-8)
-    n = len(words)
     for _ in range(rounds):
-        scores = np.column_stack([np.bincount(kind, W[feature, j], len(ids)) for j in range(k)])[of]
-        gamma, moved, _, _ = posteriors(scores, lengths, B, np.zeros(k))
-        diff = gamma - one
-        by = np.column_stack([np.bincount(of, diff[:, j], len(ids)) for j in range(k)]) / n
+        scores = np.column_stack([np.bincount(kind, W[feature, j], len(kinds)) for j in range(k)])
+        by, moved = np.zeros((len(kinds), k)), np.zeros((k, k))
+        for a, b, start, end in runs:
+            own = of[start:end]
+            diff, steps, _, _ = posteriors(scores[own], lengths[a:b], B, np.zeros(k))
+            diff[np.arange(end - start), gold[start:end]] -= 1
+            by += np.column_stack([np.bincount(own, diff[:, j], len(kinds)) for j in range(k)])
+            moved += steps
+        by /= n
         g = np.column_stack([np.bincount(feature, by[kind, j], 1 << BITS) for j in range(k)]) + ridge * W
         squares += g * g
         W -= rate * g / np.sqrt(squares)
@@ -148,37 +150,40 @@ def fit(chains: list[tuple[list[bytes], list[int]]], languages: list[str], round
     return model
 
 
-def train(docs: DataFrame, per_language: int = 500, words: int = 160, seed: int = 7) -> Chain:
-    """From at most ``per_language`` documents of each language and ``words`` words of each document."""
+def train(docs: DataFrame, per_language: int = 500, seed: int = 7) -> Chain:
+    """From the whole texts of at most ``per_language`` documents of each language."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & ~common.held_out(F.col("doc_id")))
     languages = sorted(r.lang for r in rows.select("lang").distinct().collect())
 
-    def short(batches):
+    def normal(batches):
         for batch in common.sliced(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([b" ".join(words_of(t)[:words]) for t in common.texts(batch.column(2))], pa.binary())], names=["doc_id", "lang", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([b" ".join(words_of(t)) for t in common.texts(batch.column(2))], pa.binary())], names=["doc_id", "lang", "text"])
 
     found = []
     for lang in languages:
         # ids are chosen first, so that only the chosen texts are read as a whole
         ids = rows.where(F.col("lang") == lang).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language)
-        found += rows.where(F.col("lang") == lang).join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(short, "doc_id long, lang string, text binary").collect()
+        found += rows.where(F.col("lang") == lang).join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(normal, "doc_id long, lang string, text binary").collect()
     found = sorted({(r.doc_id, r.lang, bytes(r.text)) for r in found if r.text})
     rng = np.random.default_rng(seed)
+    numbers: dict[bytes, int] = {}
     spans = []
     for _, lang, text in found:
-        own = text.split(b" ")
+        own = np.array([numbers.setdefault(w, len(numbers)) for w in text.split(b" ")], np.int32)
         at = 0
         while at < len(own):
             n = int(rng.integers(6, 32))
             spans.append((own[at : at + n], languages.index(lang)))
             at += n
-    order = rng.permutation(len(spans))
-    chains = []
-    for j in range(0, len(order), 2):  # two spans to a chain, of one document or of two
-        parts = [spans[i] for i in order[j : j + 2]]
-        chains.append(([w for p, _ in parts for w in p], [y for p, y in parts for _ in p]))
-    return fit(chains, languages)
+    del found
+    if not spans:
+        return fit([], np.zeros(0, np.int32), np.zeros(0, np.int8), np.zeros(0, np.int64), languages)
+    order = rng.permutation(len(spans)).tolist()
+    sizes = np.array([len(spans[i][0]) for i in order], np.int64)
+    gold = np.repeat(np.array([spans[i][1] for i in order], np.int16), sizes)
+    # two spans to a chain, of one document or of two
+    return fit(list(numbers), np.concatenate([spans[i][0] for i in order]), gold, np.add.reduceat(sizes, np.arange(0, len(sizes), 2)), languages)
 
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, n_words long, n_switches long"

@@ -248,6 +248,18 @@ def test_held_out_languages(spark):
     assert sum(r.lang == r.lang_pred for r in rows) / len(rows) >= 0.95
 
 
+def test_whole_texts_are_learned_from(spark):
+    """Every document opens with one notice of 200 words; only what follows tells the languages apart."""
+    rng = random.Random(8)
+    notice = " ".join("".join(rng.choices("klmnop", k=6)) for _ in range(200))
+    own = {lang: ["".join(rng.choices(letters, k=rng.randint(3, 7))) for _ in range(60)] for lang, letters in (("aa", "abcde"), ("bb", "uvwxyz"))}
+    rows = [(k, lang, " ".join([notice, *rng.choices(own[lang], k=60)])) for k in range(60) for lang in [("aa", "bb")[k % 2]]]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = language.train(docs)
+    texts = spark.createDataFrame([(k, " ".join(rng.choices(own[lang], k=20))) for k, lang in enumerate(("aa", "bb") * 10)], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in language.language_scores(texts, model).collect()} == dict(enumerate(("aa", "bb") * 10))
+
+
 def test_code_switching(spark):
     docs = common.table(spark, SF, "documents")
     model = language.train(docs, per_language=150)
