@@ -4,7 +4,8 @@ A word's emission scores sum the weights of its byte n-grams with the word's bor
 ends count as affixes) and of the word itself (lexicon); transitions between the languages of adjacent
 words are learned. Forward-backward gives each word's posterior, so that code-switched texts get a label
 for each word; a document's language is the one with the largest mean posterior, which is its score.
-Emissions and forward-backward are vectorised over many texts at once. Chains are cut after ``CHAIN`` words.
+Emissions and forward-backward are vectorised over many texts at once. A text is one chain: it is worked on in
+pieces of ``CHAIN`` words, and what passes from piece to piece is carried over by each piece's transfer matrix.
 
 Training takes the whole texts of at most ``per_language`` documents of each language (documented bound,
 chosen by a hash of doc_id), from rows that aren't held out, and joins spans of different documents to
@@ -81,8 +82,11 @@ class Chain:
         return np.column_stack([np.bincount(word, got[:, j], n) for j in range(k)])
 
 
-def posteriors(emissions: np.ndarray, lengths: np.ndarray, steps: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Forward-backward over chains laid end to end: word posteriors, expected transitions and first labels, log partition."""
+def posteriors(emissions: np.ndarray, lengths: np.ndarray, steps: np.ndarray, first: np.ndarray, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Forward-backward over chains laid end to end: word posteriors, expected transitions and first labels, log partition.
+
+    first: scores of the first label, for all chains or a row for each; last: the same of what follows the last label.
+    """
     n, k = emissions.shape
     top = emissions.max(axis=1, keepdims=True)
     e = np.exp(emissions - top)
@@ -95,10 +99,14 @@ def posteriors(emissions: np.ndarray, lengths: np.ndarray, steps: np.ndarray, fi
     for t in range(int(size[0]) if live else 0):
         live = int(np.searchsorted(-size, -t, side="left"))
         at = start[:live] + t
-        a = e[at] * (np.exp(first) if t == 0 else alpha[at - 1] @ A)
+        a = e[at] * (np.exp(first if first.ndim == 1 else first[order]) if t == 0 else alpha[at - 1] @ A)
         scale[at] = a.sum(axis=1)
         alpha[at] = a / scale[at][:, None]
     beta = np.ones((n, k))
+    if last is not None:
+        ends = start + size - 1
+        beta[ends] = np.exp(last[order])
+        beta[ends] /= (alpha[ends] * beta[ends]).sum(axis=1, keepdims=True)
     moved = np.zeros((k, k))
     for t in range((int(size[0]) if len(size) else 0) - 2, -1, -1):
         live = int(np.searchsorted(-size, -(t + 1), side="left"))
@@ -110,6 +118,42 @@ def posteriors(emissions: np.ndarray, lengths: np.ndarray, steps: np.ndarray, fi
     return gamma, moved * A, gamma[start].sum(axis=0), float(np.log(scale).sum() + top.sum())
 
 
+def text_posteriors(emissions: np.ndarray, sizes: np.ndarray, steps: np.ndarray, first: np.ndarray, piece: int = CHAIN) -> np.ndarray:
+    """Word posteriors of texts laid end to end, each of them one chain however long.
+
+    All pieces' transfer matrices are made at once, then the scores at the pieces' borders follow from piece to piece.
+    """
+    k, A = emissions.shape[1], np.exp(steps)
+    sizes = sizes[sizes > 0]
+    pieces = -(-sizes // piece)
+    heads = np.concatenate([[0], np.cumsum(pieces)[:-1]])  # the first piece of each text
+    nth = np.arange(pieces.sum()) - np.repeat(heads, pieces)
+    lengths = np.minimum(piece, np.repeat(sizes, pieces) - nth * piece)
+    if len(lengths) == len(sizes):
+        return posteriors(emissions, lengths, steps, first)[0]
+    e = np.exp(emissions - emissions.max(axis=1, keepdims=True))
+    order = np.argsort(-lengths, kind="stable")
+    start, size = (np.cumsum(lengths) - lengths)[order], lengths[order]
+    across = np.eye(k) * e[start][:, None, :]  # from a piece's first label to its last one, emissions included
+    for t in range(1, int(size[0])):
+        live = int(np.searchsorted(-size, -t, side="left"))
+        x = (across[:live].reshape(-1, k) @ A).reshape(live, k, k) * e[start[:live] + t][:, None, :]
+        across[:live] = x / x.max(axis=(1, 2), keepdims=True)
+    across[order] = across.copy()
+    into, after = np.tile(np.exp(first), (len(lengths), 1)), np.ones((len(lengths), k))
+    most = np.argsort(-pieces, kind="stable")
+    count, head = pieces[most], heads[most]
+    for j in range(1, int(count[0])):
+        at = head[: int(np.searchsorted(-count, -j, side="left"))] + j
+        x = (into[at - 1][:, None, :] @ across[at - 1])[:, 0] @ A
+        into[at] = x / x.max(axis=1, keepdims=True)
+    for j in range(int(count[0]) - 1, 0, -1):
+        at = head[: int(np.searchsorted(-count, -j, side="left"))] + j
+        x = (across[at] @ after[at][:, :, None])[:, :, 0] @ A.T
+        after[at - 1] = x / x.max(axis=1, keepdims=True)
+    return posteriors(emissions, lengths, steps, np.log(into), np.log(after))[0]
+
+
 def fit(kinds: list[bytes], of: np.ndarray, gold: np.ndarray, lengths: np.ndarray, languages: list[str], rounds: int = 40, rate: float = 0.3, ridge: float = 1e-6) -> Chain:
     """Maximum likelihood by adaptive gradient steps over all chains at once.
 
@@ -130,15 +174,18 @@ def fit(kinds: list[bytes], of: np.ndarray, gold: np.ndarray, lengths: np.ndarra
     seen = np.bincount(gold[at - 1].astype(np.int64) * k + gold[at], minlength=k * k).reshape(k, k)
     W, squares = np.zeros((1 << BITS, k)), np.full((1 << BITS, k), 1e-8)
     B, sb = np.zeros((k, k)), np.full((k, k), 1e-8)
+    heads = np.bincount(gold[ends - lengths], minlength=k)
+    S, ss = np.zeros(k), np.full(k, 1e-8)
     for _ in range(rounds):
         scores = np.column_stack([np.bincount(kind, W[feature, j], len(kinds)) for j in range(k)])
-        by, moved = np.zeros((len(kinds), k)), np.zeros((k, k))
+        by, moved, begun = np.zeros((len(kinds), k)), np.zeros((k, k)), np.zeros(k)
         for a, b, start, end in runs:
             own = of[start:end]
-            diff, steps, _, _ = posteriors(scores[own], lengths[a:b], B, np.zeros(k))
+            diff, steps, starts, _ = posteriors(scores[own], lengths[a:b], B, S)
             diff[np.arange(end - start), gold[start:end]] -= 1
             by += np.column_stack([np.bincount(own, diff[:, j], len(kinds)) for j in range(k)])
             moved += steps
+            begun += starts
         by /= n
         g = np.column_stack([np.bincount(feature, by[kind, j], 1 << BITS) for j in range(k)]) + ridge * W
         squares += g * g
@@ -146,7 +193,10 @@ def fit(kinds: list[bytes], of: np.ndarray, gold: np.ndarray, lengths: np.ndarra
         g = (moved - seen) / n
         sb += g * g
         B -= rate * g / np.sqrt(sb)
-    model.weights, model.steps = W.astype(np.float32), B
+        g = (begun - heads) / n
+        ss += g * g
+        S -= rate * g / np.sqrt(ss)
+    model.weights, model.steps, model.first = W.astype(np.float32), B, S
     return model
 
 
@@ -196,8 +246,7 @@ def _predict(model: Chain, texts: list[bytes]) -> tuple[list, list, list, list,
     if not len(model.languages) or not sizes.sum():
         return ["und"] * n, [0.0] * n, sizes.tolist(), [0] * n, [np.zeros(s, np.int64) for s in sizes]
     flat = [w for x in words for w in x]
-    lengths = np.array([min(CHAIN, s - a) for s in sizes.tolist() for a in range(0, s, CHAIN)], np.int64)
-    gamma = posteriors(model.emissions(flat), lengths, model.steps, model.first)[0]
+    gamma = text_posteriors(model.emissions(flat), sizes, model.steps, model.first)
     offsets = np.concatenate([[0], np.cumsum(sizes)])
     best = gamma.argmax(axis=1)
     lang, score, switches, labels = [], [], [], []

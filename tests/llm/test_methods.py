@@ -282,6 +282,20 @@ def test_forward_backward():
     assert logz == pytest.approx(0) and moved.sum() == pytest.approx(5)
 
 
+def test_a_text_is_one_chain():
+    """Pieces of a text give the posteriors of its whole chain, with first-label scores at its first word only."""
+    rng = np.random.default_rng(2)
+    sizes = np.array([1, 0, 5, 64, 65, 131, 0, 700])
+    e, A, first = 3 * rng.normal(size=(sizes.sum(), 4)), rng.normal(size=(4, 4)), rng.normal(size=4)
+    want = language.posteriors(e, sizes[sizes > 0], A, first)[0]
+    for piece in (1, 2, 7, 64):
+        assert language.text_posteriors(e, sizes, A, first, piece) == pytest.approx(want, abs=1e-9)
+    model = language.Chain(["a", "b"], np.zeros((1 << language.BITS, 2), np.float32), np.array([[3.0, -3], [-3, 3]]), np.array([0.0, 2.0]))
+    assert language._predict(model, [b"word " * 200])[1][0] > 0.5  # no emission tells: all comes from the first label
+    gamma = language.posteriors(np.zeros((200, 2)), np.array([200]), model.steps, model.first)[0]
+    assert language._predict(model, [b"word " * 200])[1][0] == pytest.approx(gamma[:, 1].mean())
+
+
 # --- training order, token counts, pipeline ---
 
 
