@@ -7,7 +7,8 @@ become ids (unknown ones share an id that no window has), rolling hashes of all
 made for a whole batch at once, and each hash found in the set is verified word by word.
 
 Defined results: null and empty texts have no words and aren't contaminated. Items without words have
-no window. Repeated rows are judged one by one. Other columns are ignored; without any item nothing is
+no window. Items without an item_id are left out, so a passage of theirs isn't found; ``ORACLE_SQL`` keeps
+them, and the two differ on such benchmarks. Repeated rows are judged one by one. Other columns are ignored; without any item nothing is
 hit.
 """
 
