@@ -106,14 +106,21 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, batches: int = 4) -> Dat
     """Totals of the documents, kept up by signed changes.
 
     Documents come in ``batches`` with a quarter of their bytes as the count; as many further batches
-    revise it to the real count; a last one deletes the documents without a token. All batches are then
-    sent once more, to no effect.
+    revise it to the real count. The first batch has its documents twice; a last one deletes what was too
+    much, so that every document counts once, whether it has a token or not. All batches are then sent once
+    more, to no effect.
     """
     counts = counted(common.table(spark, sf_dir, "documents"), "byte_bpe_50k")
     part = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(batches)), F.lit(0)).cast("long")
     change = lambda batch, sign, n: F.struct(batch.cast("long").alias("batch"), F.lit(sign).alias("sign"), n.cast("long").alias("n_tokens"))
-    estimate, none = F.floor(F.col("n_bytes") / 4), F.col("n_tokens") == 0
-    sent = F.array(change(part, INSERT, estimate), change(part + batches, DELETE, estimate), change(part + batches, INSERT, F.col("n_tokens")), change(F.when(none, F.lit(2 * batches)), DELETE, F.col("n_tokens")))
+    estimate, first = F.floor(F.col("n_bytes") / 4), part == 0
+    sent = F.array(
+        change(part, INSERT, estimate),
+        change(part + batches, DELETE, estimate),
+        change(part + batches, INSERT, F.col("n_tokens")),
+        change(F.when(first, part), INSERT, estimate),
+        change(F.when(first, F.lit(2 * batches)), DELETE, estimate),
+    )
     changes = counts.select(*KEYS, F.explode(sent).alias("x")).select("x.batch", "x.sign", *KEYS, "x.n_tokens")
     sums = common.checkpointed(deltas(changes))
     rollup = Rollup(spark, common.scratch_path(spark, "rollup"))

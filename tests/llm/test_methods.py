@@ -327,6 +327,18 @@ def test_token_counts(spark):
     assert {(r.source, r.lang): r.n_tokens for r in got} == want and {r.version for r in got} == {"byte_bpe_50k"}
 
 
+def test_token_counts_have_all_documents(spark, tmp_path):
+    rows = [(k, t, source, lang) for k, (t, source, lang) in enumerate([("some words", "a", "en"), (None, "a", "en"), ("", "a", "en"), ("", "b", "de"), (None, "b", "de"), (None, None, None), ("x y z", None, "en")] * 5)]
+    rows += [(None, "no id", "a", "en"), (None, None, "c", "en"), (3, "an id again", "b", "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for _, text, source, lang in rows:
+        docs, count = want.get((source, lang), (0, 0))
+        want[source, lang] = docs + 1, count + tokens.count(text or "")
+    got = rollups.op10_token_counts(spark, str(tmp_path)).collect()
+    assert {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in got} == want and len(got) == len(want)
+
+
 def test_pipeline(spark):
     """Each stage against what its operator says of its input."""
     import corpus_pipeline
