@@ -2,7 +2,8 @@
 
 The quality classifier drops what it rejects, SimHash near-dedup keeps one document of each group,
 suffix-array dedup cuts repeated passages out of the texts, decontamination drops documents with
-benchmark passages, and the rest is encoded to SentencePiece ids.
+benchmark passages, and the rest is encoded to SentencePiece ids, the best segmentation's and those of the
+following ones (``others``).
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encode(docs).drop("others")
+    return pieces.encode(docs, pieces.BEST)
 
 
 STAGES = [

@@ -264,6 +264,14 @@ def pieces(path: str = MODEL) -> Pieces:
     return _loaded[path]
 
 
+def _ends(lists: list) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32))
+
+
+def _lists(ids: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(_ends(ids), pa.array(np.concatenate([*ids, np.zeros(0, np.uint16)]).astype(np.int32)))
+
+
 def encode(docs: DataFrame, best: int = 1, model: str = MODEL) -> DataFrame:
     """(doc_id, ids, n_pieces, score, others): the ids of the best segmentation and, as structs, the following ones."""
 
@@ -271,10 +279,11 @@ def encode(docs: DataFrame, best: int = 1, model: str = MODEL) -> DataFrame:
         v, raw = pieces(model), [t.decode() for t in common.texts(batch.column(1))]
         v.solve([_CHUNKS.findall(" " + t) for t in raw])
         found = [v.encode(t, best) for t in raw]
-        first = [x[0][0] for x in found]
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in first])]).astype(np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*first, np.zeros(0, np.uint16)]).astype(np.int32)))
-        return {"doc_id": batch.column(0), "ids": ids.to_pylist() if best > 1 else ids, "n_pieces": np.diff(ends), "score": [x[0][1] for x in found], "others": [[{"ids": i.tolist(), "score": s} for i, s in x[1:]] for x in found]}
+        ids = _lists([x[0][0] for x in found])
+        later = [x[1:] for x in found]
+        others = pa.StructArray.from_arrays([_lists([i for x in later for i, _ in x]), pa.array([s for x in later for _, s in x], pa.float64())], names=["ids", "score"])
+        others = pa.ListArray.from_arrays(_ends(later), others)
+        return {"doc_id": batch.column(0), "ids": ids, "n_pieces": [len(x[0][0]) for x in found], "score": [x[0][1] for x in found], "others": others}
 
     return common.map_rows(common.id_and_text(docs), make, "doc_id long, ids array<int>, n_pieces long, score double, others array<struct<ids:array<int>,score:double>>", most=1 << 20)
 

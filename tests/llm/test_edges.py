@@ -135,3 +135,14 @@ def test_last_stage(spark, docs, empty):
     texts = {(r.doc_id, r.text) for r in pieces.decode(got).collect()}
     assert texts == {(r[0], r[1] or "") for r in rows()}
     assert corpus_pipeline.sentencepiece_encoding(spark, empty, "").collect() == []
+
+
+def test_last_stage_gives_the_n_best(spark, docs):
+    v, found = pieces.pieces(), corpus_pipeline.sentencepiece_encoding(spark, docs, "").collect()
+    key = lambda x: (-1 if x[0] is None else x[0], len(x[1]), x[1])
+    got = sorted(((r.doc_id, r.ids, r.score, [(o.ids, o.score) for o in r.others]) for r in found), key=key)
+    want = []
+    for r in rows():
+        (ids, score), *others = [(i.tolist(), s) for i, s in v.encode(r[1] or "", pieces.BEST)]
+        want.append((r[0], ids, score, others))
+    assert got == sorted(want, key=key) and max(len(x[3]) for x in got) == pieces.BEST - 1
