@@ -4,7 +4,7 @@
 x = max(c + A'l, 0). ``round_margins`` rounds x to whole numbers, up or down by at most one, at the least
 squared change, so that all margins hold: the columns' (cells over children) and those of disjoint rows
 (cells of one child). That is a minimum-cost flow, solved by successive shortest paths between rows.
-``round_general`` does the same for any equations by bounded branch and bound.
+``round_general`` does the same for any equations by branch and bound, and fails beyond its effort.
 """
 
 from __future__ import annotations
@@ -166,45 +166,63 @@ def round_margins(whole: np.ndarray, part: np.ndarray, row_of: np.ndarray, colum
 
 
 def round_general(whole: np.ndarray, part: np.ndarray, row: np.ndarray, var: np.ndarray, b: np.ndarray, tie: np.ndarray, effort: int = 200_000) -> np.ndarray:
-    """Any 0/1 equations, by branch and bound over the cells with a remainder first, then over all that are in a sum."""
+    """Any 0/1 equations, by branch and bound over all cells that are in a sum; ``SolverError`` if the effort ends before the optimum is proven.
+
+    The bound is a Lagrangian one: any prices of the rows give a valid one, and good ones are sought by subgradient steps.
+    """
     n, m = len(whole), len(b)
     need = (b - np.bincount(row, whole[var], m)).round().astype(np.int64)
     cost = (1 - 2 * part) + 1e-9 * tie
     rows_of: list[list[int]] = [[] for _ in range(n)]
     for r, v in zip(row.tolist(), var.tolist(), strict=True):
         rows_of[v].append(r)
-    for within in (part > 0, np.ones(n, bool)):
-        todo = sorted((v for v in range(n) if rows_of[v] and within[v]), key=lambda v: (min(rows_of[v]), cost[v]))
-        left = np.zeros((len(todo) + 1, m), np.int64)  # how many later cells each row still has
-        bound = np.zeros(len(todo) + 1)
-        for k in range(len(todo) - 1, -1, -1):
-            left[k] = left[k + 1]
-            left[k][rows_of[todo[k]]] += 1
-            bound[k] = bound[k + 1] + min(0.0, cost[todo[k]])
-        best, chosen, spent = np.inf, None, 0
-        stack = [(0, 0.0, need, ())]
-        while stack:
-            k, done, want, picks = stack.pop()
-            spent += 1
-            if spent > effort:
-                if chosen is None:
-                    raise SolverError("rounding found no solution within its effort")
-                break
-            if done + bound[k] >= best or (want < 0).any() or (want > left[k]).any():
-                continue
-            if k == len(todo):
-                best, chosen = done, picks
-                continue
-            v = todo[k]
-            less = want.copy()
-            less[rows_of[v]] -= 1
-            options = [(k + 1, done, want, picks), (k + 1, done + cost[v], less, (*picks, v))]
-            stack += options if cost[v] < 0 else options[::-1]
-        if chosen is not None:
-            y = (part > 0.5) & np.array([not r for r in rows_of])
-            y[list(chosen)] = True
-            return whole + y
-    raise InfeasibleError("no rounding meets the equations")
+    price = _prices(cost, need, row, var)
+    reduced = cost - np.bincount(var, price[row], n)
+    todo = sorted((v for v in range(n) if rows_of[v]), key=lambda v: (min(rows_of[v]), cost[v]))
+    left = np.zeros((len(todo) + 1, m), np.int64)  # how many later cells each row still has
+    bound = np.zeros(len(todo) + 1)  # the least that later cells add, at their reduced costs
+    for k in range(len(todo) - 1, -1, -1):
+        left[k] = left[k + 1]
+        left[k][rows_of[todo[k]]] += 1
+        bound[k] = bound[k + 1] + min(0.0, reduced[todo[k]])
+    best, chosen, spent = np.inf, None, 0
+    stack = [(0, 0.0, need, ())]
+    while stack:
+        k, done, want, picks = stack.pop()
+        spent += 1
+        if spent > effort:
+            raise SolverError("rounding found no solution within its effort" if chosen is None else "rounding found no solution proven nearest within its effort")
+        if (want < 0).any() or (want > left[k]).any() or done + float(price @ want) + bound[k] >= best - 1e-12:
+            continue
+        if k == len(todo):
+            best, chosen = done, picks
+            continue
+        v = todo[k]
+        less = want.copy()
+        less[rows_of[v]] -= 1
+        options = [(k + 1, done, want, picks), (k + 1, done + cost[v], less, (*picks, v))]
+        stack += options if reduced[v] < 0 else options[::-1]
+    if chosen is None:
+        raise InfeasibleError("no rounding meets the equations")
+    y = (part > 0.5) & np.array([not r for r in rows_of], bool)
+    y[list(chosen)] = True
+    return whole + y
+
+
+def _prices(cost: np.ndarray, need: np.ndarray, row: np.ndarray, var: np.ndarray, steps: int = 300) -> np.ndarray:
+    """Prices of the rows at which choosing cells by reduced cost alone bounds the least cost well from below."""
+    n, m = len(cost), len(need)
+    price, best, top = np.zeros(m), np.zeros(m), -np.inf
+    for t in range(steps):
+        reduced = cost - np.bincount(var, price[row], n)
+        value = float(price @ need) + float(np.minimum(reduced, 0).sum())
+        if value > top:
+            top, best = value, price.copy()
+        slope = need - np.bincount(row, (reduced < 0)[var], m)
+        if not slope.any():
+            break
+        price = price + slope / (np.abs(slope).max() * (1 + t / 4))
+    return best
 
 
 def solve(c: np.ndarray, column_sum: np.ndarray | None, sums: list[tuple[int, np.ndarray, int]], tie: np.ndarray, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -56,6 +56,42 @@ def test_overlapping_sums():
     assert y[0, 0] + y[0, 1] == 5 and y[0, 1] + y[0, 2] == 4 and (y >= 0).all()
 
 
+def nearest(whole, part, row, var, b):
+    m = len(b)
+    return min((((part - z) ** 2).sum() for bits in itertools.product((0, 1), repeat=len(whole)) for z in [np.array(bits)] if (np.bincount(row, (whole + z)[var], m) == b).all()), default=None)
+
+
+def test_overlapping_sums_are_rounded_to_the_nearest():
+    rng = np.random.default_rng(11)
+    for _ in range(80):
+        n, m = int(rng.integers(3, 11)), int(rng.integers(2, 5))
+        row, var = np.nonzero(rng.random((m, n)) < 0.6)
+        whole, part = rng.integers(0, 4, n), np.where(rng.random(n) < 0.4, 0.0, rng.random(n))
+        b = np.bincount(row, (whole + (rng.random(n) < 0.5))[var], m)
+        got = solver.round_general(whole, part, row, var, b, np.zeros(n)) - whole
+        assert ((part - got) ** 2).sum() == pytest.approx(nearest(whole, part, row, var, b), abs=1e-9)
+    # a whole cell shared by both sums costs less than two cells with small remainders
+    whole, part = np.zeros(3, int), np.array([0.1, 0.0, 0.1])
+    row, var = np.array([0, 0, 1, 1]), np.array([0, 1, 1, 2])
+    assert solver.round_general(whole, part, row, var, np.array([1, 1]), np.zeros(3)).tolist() == [0, 1, 0]
+
+
+def test_an_end_of_effort_is_an_error():
+    rng, failed, whole = np.random.default_rng(12), 0, np.zeros(12, int)
+    for _ in range(15):
+        row, var = np.nonzero(rng.random((3, 12)) < 0.5)
+        part, b = rng.random(12), np.bincount(row, (rng.random(12) < 0.5)[var], 3)
+        best = nearest(whole, part, row, var, b)
+        for effort in (5, 13, 14, 15, 20, 25, 30, 40, 60, 100, 200, 400):
+            try:
+                got = solver.round_general(whole, part, row, var, b, np.zeros(12), effort)
+            except solver.SolverError:
+                failed += 1
+                continue
+            assert ((part - got) ** 2).sum() == pytest.approx(best, abs=1e-9)
+    assert failed
+
+
 def test_infeasible():
     ones = np.ones((2, 2), bool)
     with pytest.raises(InfeasibleError):
