@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 FOLDS, HELD_OUT = 5, 0
 #: Bytes of text that a Python worker handles at once.
 CHUNK_BYTES = 4 << 20
+#: Files that a small frame is written to, for each core of the session.
+FILES_A_CORE = 2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a local one is set.
+    Only where the session names none and runs in one process (tests) a local one is set.
     """
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -34,18 +36,38 @@ def shared_dir(spark: SparkSession) -> str:
         current = sc._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tallytree-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(at)
     return at.rstrip("/")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder; Spark removes the files once unused if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set."""
+def checkpointed(df: DataFrame, small: bool = False) -> DataFrame:
+    """``df`` written to the shared folder; Spark removes the files once unused if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+
+    small: the rows hold no texts, only ids, hashes and counts. They are then written by FILES_A_CORE tasks for
+    each core at most: a file costs more than its few bytes, on a plain local file system even a child process
+    of the executor. The tasks read one shuffle partition after another, so none needs more memory.
+    """
     shared_dir(df.sparkSession)
+    if small:
+        df = df.coalesce(FILES_A_CORE * max(1, df.sparkSession.sparkContext.defaultParallelism))
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as make it none of the columns of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 

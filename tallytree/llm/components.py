@@ -31,12 +31,12 @@ def components(links: DataFrame) -> DataFrame:
     Links of a node to itself, repeated links and either direction are allowed; nulls are dropped.
     """
     edges = links.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = checkpointed(edges)
+    edges = checkpointed(edges, small=True)
     mark = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         edges = _star(edges, both, large=True)
-        edges = checkpointed(_star(edges, edges, large=False))
+        edges = checkpointed(_star(edges, edges, large=False), small=True)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == mark:
             break

@@ -25,7 +25,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import common
 from .components import components
@@ -156,14 +155,14 @@ def links(fps: DataFrame, radius: int = RADIUS, seed: int = SEED, bucket: int =
         last = level == len(levels) - 1
         counts = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
         if not last:
-            counts = common.checkpointed(counts)
+            counts = common.checkpointed(counts, small=True)
         members = keyed.join(counts if last else counts.where(F.col("n") <= bucket), ["t", "key"])
         small = members.groupBy("t", "key").agg(F.collect_list("fp").alias("members"))
         part = _forests(small, radius)
         found = part if found is None else found.union(part)
         if last or not (hot := counts.where(F.col("n") > bucket)).take(1):
             return found
-        keyed = common.checkpointed(_refined(keyed.join(hot.select("t", "key"), ["t", "key"], "left_semi"), _children(level, seed, radius)))
+        keyed = common.checkpointed(_refined(keyed.join(hot.select("t", "key"), ["t", "key"], "left_semi"), _children(level, seed, radius)), small=True)
     return found
 
 
@@ -174,8 +173,8 @@ def hexed(fp: Column) -> Column:
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``."""
     rows = common.checkpointed(fingerprints(docs))
-    distinct = common.checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = common.checkpointed(components(links(distinct.select("fp"), radius, bucket=bucket)))
+    distinct = common.checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), small=True)
+    roots = common.checkpointed(components(links(distinct.select("fp"), radius, bucket=bucket)), small=True)
     grouped = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     known = grouped.join(least, "root").select("fp", "component_id")
@@ -188,41 +187,39 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Of several rows with that id the one with the least hash of its text stays, of equal rows any one.
     Rows without an id come last.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    own = (F.col("doc_id").cast("long").alias("__id"), F.xxhash64(text).alias("__text"))
-    rows = common.checkpointed(fingerprints(docs.select("doc_id", "text")).groupBy("doc_id", "fp").count())
-    distinct = common.checkpointed(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"))).alias("least")))
-    roots = common.checkpointed(components(links(distinct.select("fp"), radius)))
+    id_, print_, hash_, place, d, p, low = common.fresh(docs, "id", "print", "hash", "place", "d", "p", "low")
+    rows = common.checkpointed(fingerprints(docs.select("doc_id", "text")).groupBy("doc_id", "fp").count(), small=True)
+    distinct = common.checkpointed(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"))).alias("least")), small=True)
+    roots = common.checkpointed(components(links(distinct.select("fp"), radius)), small=True)
     grouped = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    first = grouped.groupBy("root").agg(F.min(F.struct("least", "fp")).alias("x")).select("x.least.doc_id", "x.fp")
-    keep = rows.join(first, rows.doc_id.eqNullSafe(first.doc_id) & (rows.fp == first.fp), "left_semi").select(F.col("doc_id").alias("__id"), "count")
-    keep = common.checkpointed(keep.groupBy("__id").agg(F.sum("count").alias("n"), F.count("*").alias("groups")))
-    held = rows.groupBy(F.col("doc_id").alias("__id")).agg(F.sum("count").alias("all"))
-    sure = keep.join(held, keep["__id"].eqNullSafe(held["__id"])).select(keep["__id"], ((F.col("all") == 1)).alias("alone"))
-    sure = common.checkpointed(sure)
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
-    kept = docs.join(sure.where("alone").select("__id"), same, "left_semi")
-    if not sure.where("NOT alone").take(1):
+    first = grouped.groupBy("root").agg(F.min(F.struct("least", "fp")).alias("x")).select(F.col("x.least.doc_id").alias(id_), F.col("x.fp").alias(print_))
+    chosen = rows.join(first, rows.doc_id.eqNullSafe(F.col(id_)) & (rows.fp == F.col(print_)), "left_semi").select(F.col("doc_id").alias(id_), F.col("fp").alias(print_))
+    held = rows.groupBy(F.col("doc_id").alias("held")).agg(F.sum("count").alias("all"))
+    chosen = common.checkpointed(chosen.join(held, F.col(id_).eqNullSafe(F.col("held"))).select(id_, print_, (F.col("all") == 1).alias("alone")), small=True)
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(id_))
+    kept = docs.join(chosen.where("alone").select(id_), same, "left_semi")
+    again = chosen.where("NOT alone").select(id_, print_)
+    if not again.take(1):
         return kept
-    # repeated ids: their few rows are told apart by fingerprint and text
-    again = docs.join(sure.where("NOT alone").select("__id"), same, "left_semi")
-    names = again.columns
-    prints = fingerprints(again.select("doc_id", "text")).distinct()
-    chosen = prints.join(first, prints.doc_id.eqNullSafe(first.doc_id) & (prints.fp == first.fp), "left_semi").select(F.col("doc_id").alias("__id"), "fp")
-    told = _with_fingerprint(again).join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("fp")), "left_semi")
-    least = Window.partitionBy("doc_id", "__fp").orderBy("__text")
-    return kept.unionByName(told.withColumn("__text", own[1]).withColumn("__place", F.row_number().over(least)).where("__place = 1").select(*names))
+    # repeated ids: their rows are told apart by fingerprint and text, and the least one is found by partial aggregation
+    repeated = _with_fingerprint(docs.join(again.select(id_).distinct(), same, "left_semi"), print_).withColumn(hash_, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    least = repeated.groupBy(F.col("doc_id").cast("long").alias(d), F.col(print_).alias(p)).agg(F.min(hash_).alias(low))
+    least = least.join(again, F.col(d).eqNullSafe(F.col(id_)) & (F.col(p) == F.col(print_)), "left_semi")
+    told = repeated.join(least, repeated["doc_id"].cast("long").eqNullSafe(F.col(d)) & (repeated[print_] == F.col(p)) & (repeated[hash_] == F.col(low)), "left_semi")
+    # equal texts under one id: any one of them, found by partial aggregation too
+    one = told.groupBy(F.col("doc_id").cast("long").alias(d), F.col(print_).alias(p)).agg(F.first(F.struct(*docs.columns)).alias(place))
+    return kept.unionByName(one.select(f"{place}.*"))
 
 
-def _with_fingerprint(docs: DataFrame) -> DataFrame:
+def _with_fingerprint(docs: DataFrame, name: str) -> DataFrame:
     from pyspark.sql.types import LongType, StructType
 
-    schema = StructType([*docs.schema.fields]).add("__fp", LongType())
+    schema = StructType([*docs.schema.fields]).add(name, LongType())
 
     def run(batches):
         for batch in batches:
             found = np.fromiter(map(fingerprint, common.texts(batch.column(batch.schema.get_field_index("text")))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], names=[*batch.schema.names, "__fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 
