@@ -19,4 +19,4 @@ QUERIES = {
         rollups.op10_token_counts,
     )
 }
-ORACLES = {"op4_decontamination": decontaminate.ORACLE_SQL, "op9_quality_rules": repetition.ORACLE_SQL}
+ORACLES = {"op2_suffix_dedup": suffixes.ORACLE_SQL, "op4_decontamination": decontaminate.ORACLE_SQL, "op9_quality_rules": repetition.ORACLE_SQL}

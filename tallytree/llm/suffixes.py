@@ -30,7 +30,6 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
-from pyspark.sql.window import Window
 
 from . import common
 from .hashing import mixed, rolled
@@ -109,17 +108,6 @@ def occurrences(rows: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) ->
     return rows.mapInArrow(run, OCCURRENCES)
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h, c) to (h, c, n): the copies within a batch in one row."""
-    for batch in batches:
-        if batch.num_rows:
-            pairs = np.column_stack([np.asarray(batch.column(k)) for k in (0, 1)])
-            order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-            pairs = pairs[order]
-            first = np.flatnonzero(np.append(True, (pairs[1:] != pairs[:-1]).any(axis=1)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[first, 0])), pa.array(np.ascontiguousarray(pairs[first, 1])), pa.array(np.diff(np.append(first, len(pairs))))], names=["h", "c", "n"])
-
-
 # --- deep-shallow sorting --------------------------------------------------------------------------------
 
 
@@ -314,38 +302,36 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     """(doc_id, t, spans): for the rows with any, the spans [a, b) of bytes in strings of ``length`` that start elsewhere too. May overlap."""
     spark, rows = docs.sparkSession, _rows(docs)
     all_, everything = common.written(occurrences(rows, length, anchor), "stretches")
-    # counts alone tell which stretches matter; copies are summed up before they meet
-    by_anchor = Window.partitionBy("h")
-    kinds = all_.select("h", "c").mapInArrow(_summed, "h long, c long, n long").repartition("h").groupBy("h", "c").agg(F.sum("n").alias("copies"))
-    kinds = kinds.withColumn("mixed", F.count("*").over(by_anchor) > 1).where((F.col("copies") > 1) | F.col("mixed"))
-    found, path = common.written(all_.join(kinds, ["h", "c"]), "repeats")
+    # which anchors occur again, and whether with different stretches: a row for each anchor and task, however hot
+    anchors = all_.groupBy("h").agg(F.count("*").alias("n_"), F.min("c").alias("low"), F.max("c").alias("high")).where("n_ > 1")
+    found, path = common.written(all_.join(anchors.select("h", (F.col("low") != F.col("high")).alias("mixed")), "h"), "repeats")
     common.remove(spark, everything)
     # one stretch of each content where an anchor has several
-    ones = found.where("mixed").groupBy("h", "c").agg(F.min(F.struct("doc_id", "t", "a", "n", "o")).alias("x")).select("h", "c", "x.*")
-    ones = common.checkpointed(ones.withColumn("size", F.count("*").over(by_anchor)))
-    wanted = ones.groupBy(F.col("doc_id").alias("d"), F.col("t").alias("dt")).agg(F.collect_list(F.struct("h", "c", "a", "n", "o", "size")).alias("wanted"))
-    texts = rows
-    holders = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.d) & (texts.t == wanted.dt))
+    ones = common.checkpointed(found.where("mixed").groupBy("h", "c").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "t", "a", "n", "o")).alias("x")).select("h", "c", "copies", "x.*"))
+    wanted = ones.groupBy(F.col("doc_id").alias("d"), F.col("t").alias("dt")).agg(F.collect_list(F.struct("h", "c", "a", "n", "o")).alias("wanted"))
+    holders = rows.join(wanted, rows.doc_id.eqNullSafe(wanted.d) & (rows.t == wanted.dt))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.sliced(batches):
-            out = [(w["h"], w["c"], w["n"], w["o"], text[w["a"] : w["a"] + w["n"] + length - 1], w["size"]) for text, ws in zip(common.texts(batch.column(0)), batch.column(1).to_pylist(), strict=True) for w in ws]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64()))], names=["h", "c", "n", "o", "text", "size"])
+            out = [(w["h"], w["c"], w["n"], w["o"], text[w["a"] : w["a"] + w["n"] + length - 1]) for text, ws in zip(common.texts(batch.column(0)), batch.column(1).to_pylist(), strict=True) for w in ws]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["h", "c", "n", "o", "text"])
 
-    members = holders.select("text", "wanted").mapInArrow(cut, "h long, c long, n int, o int, text binary, size long")
+    members = holders.select("text", "wanted").mapInArrow(cut, "h long, c long, n int, o int, text binary")
     result = "h long, c long, first int, last int"
-    hot = bool(ones.where(F.col("size") > group).take(1))
-    usual = members.where(F.col("size") <= group) if hot else members
-    shared = usual.select("h", "c", "n", "o", "text").repartition("h").sortWithinPartitions("h", "c").mapInArrow(_compare(length), result)
-    if hot:
-        windows = members.where(F.col("size") > group).select("h", "c", "n", "o", "text").mapInArrow(_taken_apart(length), "h long, c long, s int, w1 long, w2 long").distinct()
+    hot = common.checkpointed(ones.groupBy("h").count().where(F.col("count") > group).select("h"), small=True)
+    some_hot = bool(hot.take(1))
+    usual = members.join(hot, "h", "left_anti") if some_hot else members
+    shared = usual.repartition("h").sortWithinPartitions("h", "c").mapInArrow(_compare(length), result)
+    if some_hot:
+        windows = members.join(hot, "h", "left_semi").mapInArrow(_taken_apart(length), "h long, c long, s int, w1 long, w2 long").distinct()
         again = windows.groupBy("h", "w1", "w2").agg(F.count_distinct("c").alias("n")).where("n > 1").select("h", "w1", "w2")
         shared = shared.unionByName(windows.join(again, ["h", "w1", "w2"], "left_semi").groupBy("h", "c").agg(F.min("s").alias("first"), F.max("s").alias("last")))
-    # a row that is there twice gives its stretches twice
-    shared = common.checkpointed(shared.groupBy("h", "c").agg(F.min("first").alias("first"), F.max("last").alias("last")))
-    whole = found.where("copies > 1").select("doc_id", "t", F.col("a").alias("a"), (F.col("a") + F.col("n") + (length - 1)).alias("b"))
-    some = found.where("copies = 1").join(shared, ["h", "c"]).select("doc_id", "t", (F.col("a") + F.col("first")).alias("a"), (F.col("a") + F.col("last") + length).alias("b"))
-    spans = common.checkpointed(whole.unionByName(some).groupBy("doc_id", "t").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
+    # what has copies is a repeat as a whole; a row that is there twice gives its stretches twice
+    whole = ones.where("copies > 1").select("h", "c", F.lit(0).alias("first"), (F.col("n") - 1).alias("last"))
+    shared = common.checkpointed(shared.unionByName(whole).groupBy("h", "c").agg(F.min("first").alias("first"), F.max("last").alias("last")))
+    alike = found.where("NOT mixed").select("doc_id", "t", "a", (F.col("a") + F.col("n") + (length - 1)).alias("b"))
+    other = found.where("mixed").join(shared, ["h", "c"]).select("doc_id", "t", (F.col("a") + F.col("first")).alias("a"), (F.col("a") + F.col("last") + length).alias("b"))
+    spans = common.checkpointed(alike.unionByName(other).groupBy("doc_id", "t").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
     common.remove(spark, path)
     return spans
 
@@ -360,29 +346,41 @@ def _merged(spans: list[dict] | None) -> list[list[int]]:
     return out
 
 
-def _kept(text: bytes, runs: list[list[int]]) -> bytes:
+def _pieces(text: bytes, runs: list[list[int]]) -> list[bytes]:
+    """What is left of a text, run by run."""
     ends = [0, *(x for r in runs for x in r), len(text)]
-    return b"".join(text[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)) if runs else text
+    return [text[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)] if runs else [text]
+
+
+def _characters(pieces: list[bytes]) -> str:
+    """The characters of which no byte was cut off."""
+    return "".join([x.decode(errors="ignore") for x in pieces])
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    spans = spans.select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), F.col("spans").alias("__spans"))
+    """``docs`` and, as its last column, the spans of each row."""
+    id_, t, own = common.fresh(docs, "id", "t", "spans")
+    spans = spans.select(F.col("doc_id").alias(id_), F.col("t").alias(t), F.col("spans").alias(own))
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__t")), "left").drop("__id", "__t")
+    return docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(text) == F.col(t)), "left").drop(id_, t)
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group: int = GROUP) -> DataFrame:
-    """One row per document: its bytes, the removed bytes and runs, and the sha256 of what is left."""
+    """One row per document: its bytes, the removed bytes and runs, the sha256 of what is left, and that as a text.
+
+    ``text`` has the characters of which all bytes are left.
+    """
     joined = _with_spans(docs.select("doc_id", "text"), repeated_spans(docs, length, anchor, group))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.sliced(batches):
             texts = common.texts(batch.column(1))
             runs = [_merged(s) for s in batch.column(2).to_pylist()]
             gone = [sum(b - a for a, b in r) for r in runs]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(list(map(len, texts)), pa.int64()), pa.array(gone, pa.int64()), pa.array(list(map(len, runs)), pa.int64()), pa.array([hashlib.sha256(_kept(t, r)).hexdigest() for t, r in zip(texts, runs, strict=True)], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            left = [_pieces(t, r) for t, r in zip(texts, runs, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(list(map(len, texts)), pa.int64()), pa.array(gone, pa.int64()), pa.array(list(map(len, runs)), pa.int64()), pa.array([hashlib.sha256(b"".join(x)).hexdigest() for x in left], pa.string()), pa.array(list(map(_characters, left)), pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
 
-    return joined.select("doc_id", "text", "__spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
 def drop_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group: int = GROUP) -> DataFrame:
@@ -395,14 +393,14 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, gr
     at, counts = names.index("text"), names.index("n_chars") if dict(docs.dtypes).get("n_chars") == "bigint" else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.sliced(batches):
             spans = batch.column(len(names))
             columns = [batch.column(k) for k in range(len(names))]
             if spans.null_count < len(spans):
                 texts, sizes = columns[at].to_pylist(), columns[counts].to_pylist() if counts is not None else []
                 for k, s in enumerate(spans.to_pylist()):
                     if s:
-                        texts[k] = _kept(texts[k].encode(), _merged(s)).decode(errors="ignore")
+                        texts[k] = _characters(_pieces(texts[k].encode(), _merged(s)))
                         if counts is not None:
                             sizes[k] = len(texts[k])
                 columns[at] = pa.array(texts, columns[at].type)
@@ -415,3 +413,24 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, gr
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(common.table(spark, sf_dir, "documents"))
+
+
+#: Every window by itself, on hexadecimal digits: two a byte. A window's strings are compared by their MD5.
+_HEAD, _TAIL = "^([89AB].)+", "([C-F].|[EF].[89AB].|F.[89AB].[89AB].)$"
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, i, md5_number(substr(x, 2 * i + 1, 2 * {LENGTH})) AS m FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - {LENGTH} + 1)) AS i FROM d)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY m) AS n FROM w) WHERE n > 1),
+g AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM r),
+s AS (SELECT doc_id, i, sum(CASE WHEN gap <= {LENGTH} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g),
+v AS (SELECT doc_id, k, min(i) AS a, max(i) + {LENGTH} AS b FROM s GROUP BY doc_id, k),
+u AS (SELECT doc_id, a, b, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS following, lag(b) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM v),
+p AS (SELECT doc_id, a, b, CASE WHEN before IS NULL THEN substr(x, 1, 2 * a) ELSE '' END AS head, CASE WHEN following IS NULL THEN substr(x, 2 * b + 1) ELSE substr(x, 2 * b + 1, 2 * (following - b)) END AS tail
+  FROM u JOIN d USING (doc_id)),
+t AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(head || tail, '' ORDER BY a) AS kept,
+  string_agg(regexp_replace(head, '{_TAIL}', '') || regexp_replace(regexp_replace(tail, '{_HEAD}', ''), '{_TAIL}', ''), '' ORDER BY a) AS whole
+  FROM p GROUP BY doc_id)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, x))) AS kept_sha256, decode(unhex(coalesce(whole, x))) AS text
+FROM d LEFT JOIN t USING (doc_id)
+"""

@@ -37,7 +37,9 @@ def brute_repeats(texts, length):
                 gone[i : i + length] = True
         runs = int((gone[1:] & ~gone[:-1]).sum() + gone[0])
         kept = bytes(b for b, g in zip(t, gone, strict=False) if not g)
-        out.append((len(t), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
+        at = np.concatenate([[0], np.cumsum([len(x.encode()) for x in t.decode()])]).astype(int)
+        whole = "".join(x for x, a, b in zip(t.decode(), at, at[1:], strict=False) if not gone[a:b].any())
+        out.append((len(t), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest(), whole))
     return out
 
 
