@@ -1,12 +1,17 @@
 """Quality rules (9): base counts, and repeated passages found with a suffix array.
 
-A suffix array over the words of a text, with its longest-common-prefix array, gives every maximal
-repeated run of words as an LCP interval. The union of the spans of the repeats of at least
-``min_repeat`` words is the covered part; a document is rejected if that is more than
-``most_covered`` per cent of its words or if its longest repeat has over ``longest`` words.
-
-Everything is per document: no shuffle. Many documents are sorted at once: the first rank of a
-suffix is its (document, word) pair, so that no two documents ever share a rank.
+A suffix array over the words of a text, with its longest-common-prefix array, gives every repeated run of
+words as an LCP interval: as many suffixes in a row as have it in common. Intervals whose suffixes don't
+all have one word before them are the maximal repeats. The union of the spans of those of at least
+``min_repeat`` words is the covered part; a document is rejected if that is more than ``most_covered`` per
+cent of its words or if its longest repeat has over ``longest`` words. A suffix gives a span only for the
+deepest interval that it is in: the others' spans start there too and are shorter. If that one isn't
+maximal, the interval of the suffixes one word to the left covers more. So the work is linear, also in
+texts of one word over and over, whose intervals are all nested.
+
+Everything is per document: no shuffle. Many documents are sorted at once, about a megabyte of text: the
+first rank of a suffix is its (document, word) pair, so that no two documents ever share a rank. A longer
+text is sorted alone and whole, with some 8 (3 + log2 of its longest repeat) bytes a word.
 
 Defined results: null and empty texts have no words and fail the base rule. Repeated rows and equal
 ids are judged row by row. Other columns of the input are ignored.
@@ -90,8 +95,8 @@ def suffix_array(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, lcp
 
 
-def longest_repeats(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """For each word of each document, how many words from there on occur elsewhere in the document too; and the offsets."""
+def _suffixes(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Suffix and LCP array of the documents laid end to end, which places hold words, the word before each place, and the documents' offsets."""
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     offsets = np.concatenate([[0], np.cumsum(sizes)])
     ids: dict[bytes, int] = {}
@@ -106,49 +111,92 @@ def longest_repeats(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     first[inner] = flat + doc * np.int64(len(ids) + 1)
     first[ends] = len(ids) + np.arange(len(words)) * np.int64(len(ids) + 1)
     order, lcp = suffix_array(first)
-    best = np.zeros(n, np.int64)
-    best[order] = np.maximum(lcp, np.append(lcp[1:], 0)) if n else 0
-    return best[inner], offsets
+    return order, lcp, inner, np.concatenate([[-1], first[:-1]]), offsets
+
 
+def lcp_intervals(lcp: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The LCP intervals of a depth of at least ``least``: depth, first and last rank of each, and for each rank the interval of its LCP value (-1: none).
 
-def covered(best: np.ndarray, least: int) -> np.ndarray:
-    """Which words the union of the repeats of at least ``least`` words covers (repeats end within their text)."""
-    n = len(best)
+    Ranks k - 1 and k are in one interval of depth lcp[k]; lcp[0] counts as 0. One pass with a stack over the ranks that matter.
+    """
+    n = len(lcp)
+    of = np.full(n + 1, -1, np.int64)
+    at = np.flatnonzero(lcp >= least)
+    at = at[at > 0]
+    depth: list[int] = []
+    left: list[int] = []
+    right: list[int] = []
+    stack: list[int] = []
+    before = -2
+    for k, d in zip(at.tolist(), lcp[at].tolist(), strict=True):
+        if k != before + 1:  # between the runs all values are less
+            for x in stack:
+                right[x] = before
+            stack = []
+        start = k - 1
+        while stack and depth[stack[-1]] > d:
+            x = stack.pop()
+            right[x], start = k - 1, left[x]
+        if not stack or depth[stack[-1]] < d:
+            stack.append(len(depth))
+            depth.append(d), left.append(start), right.append(0)
+        of[k] = stack[-1]
+        before = k
+    for x in stack:
+        right[x] = before
+    return np.array(depth, np.int64), np.array(left, np.int64), np.array(right, np.int64), of
+
+
+def longest_repeats(words: list[list[bytes]], least: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans and longest repeats of at least ``least`` words, from the documents' LCP intervals.
+
+    For each word of each document the length of the maximal repeat whose span starts there (0: none does, or
+    one that starts before it covers it); for each document its longest repeat; and the documents' offsets.
+    """
+    order, lcp, inner, before, offsets = _suffixes(words)
+    n = len(order)
+    depth, left, right, of = lcp_intervals(lcp, least)
+    span, longest = np.zeros(n, np.int64), np.zeros(len(words), np.int64)
+    if len(depth):
+        prior = before[order]
+        prior[order == 0] = -1
+        differs = np.concatenate([[0], np.cumsum(prior[1:] != prior[:-1])])
+        maximal = differs[right] > differs[left]
+        # the deeper of the two intervals that a rank is in with its neighbours
+        up, down = of[:-1], of[1:]
+        deepest = np.where((down >= 0) & ((up < 0) | (np.append(lcp[1:], 0) > lcp)), down, up)
+        ranks = np.flatnonzero(deepest >= 0)
+        ranks = ranks[maximal[deepest[ranks]]]
+        span[order[ranks]] = depth[deepest[ranks]]
+        doc = np.searchsorted(offsets[1:] + np.arange(1, len(words) + 1), order[left], side="right")
+        np.maximum.at(longest, doc, depth)
+    return span[inner], longest, offsets
+
+
+def covered(span: np.ndarray, least: int) -> np.ndarray:
+    """Which words the union of the spans of at least ``least`` words covers (spans end within their text)."""
+    n = len(span)
     mark = np.zeros(n + 1, np.int64)
-    at = np.flatnonzero(best >= least)
+    at = np.flatnonzero(span >= least)
     np.add.at(mark, at, 1)
-    np.add.at(mark, at + best[at], -1)
+    np.add.at(mark, at + span[at], -1)
     return np.cumsum(mark[:n]) > 0
 
 
 def maximal_repeats(words: list[bytes], least: int) -> list[tuple[int, list[int]]]:
-    """The LCP intervals of one text as (length in words, starts), for repeats of at least ``least`` words that can't be extended to the left."""
-    ids: dict[bytes, int] = {}
-    first = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.int64, len(words))
-    order, lcp = suffix_array(first)
-    out, stack = [], []
-    for k in range(1, len(order) + 1):
-        depth, left = int(lcp[k]) if k < len(order) else 0, k - 1
-        while stack and stack[-1][0] > depth:
-            length, left = stack.pop()
-            starts = sorted(int(x) for x in order[left:k])
-            before = {words[s - 1] if s else None for s in starts}
-            if length >= least and (len(before) > 1 or None in before):
-                out.append((length, starts))
-        if depth and (not stack or stack[-1][0] < depth):
-            stack.append((depth, left))
-    return out
+    """The maximal repeats of one text of at least ``least`` words as (length in words, starts)."""
+    order, lcp, _, before, _ = _suffixes([words])
+    prior = before[order]
+    return [(d, sorted(order[a : b + 1].tolist())) for d, a, b in zip(*(x.tolist() for x in lcp_intervals(lcp, least)[:3]), strict=True) if len(set(prior[a : b + 1].tolist())) > 1]
 
 
 def _judge(batch: pa.RecordBatch, limits: Limits) -> dict:
     raw = common.texts(batch.column(1))
     words = [t.split() for t in raw]
-    best, offsets = longest_repeats(words)
+    span, longest, offsets = longest_repeats(words, min(WINDOW, limits.min_repeat, limits.longest + 1))
     sums = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[offsets])
     n_words = np.diff(offsets)
-    repeated, cover = sums(covered(best, WINDOW)), sums(covered(best, limits.min_repeat))
-    longest = np.maximum.reduceat(np.append(best, 0), np.minimum(offsets[:-1], len(best))) if len(raw) else np.zeros(0, np.int64)
-    longest = np.where(n_words > 0, longest, 0)
+    repeated, cover = sums(covered(span, WINDOW)), sums(covered(span, limits.min_repeat))
     chars, symbols, dups = [], [], []
     for text, found in zip(raw, words, strict=True):
         joined = b"".join(found)

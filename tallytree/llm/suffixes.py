@@ -303,8 +303,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     spark, rows = docs.sparkSession, _rows(docs)
     all_, everything = common.written(occurrences(rows, length, anchor), "stretches")
     # which anchors occur again, and whether with different stretches: a row for each anchor and task, however hot
-    anchors = all_.groupBy("h").agg(F.count("*").alias("n_"), F.min("c").alias("low"), F.max("c").alias("high")).where("n_ > 1")
-    found, path = common.written(all_.join(anchors.select("h", (F.col("low") != F.col("high")).alias("mixed")), "h"), "repeats")
+    anchors = all_.groupBy("h").agg(F.count("*").alias("seen"), F.min("c").alias("low"), F.max("c").alias("high")).where("seen > 1")
+    # by themselves, so that the join is one of two plain shuffles and a hot anchor's rows are split among tasks
+    anchors = common.checkpointed(anchors.select("h", (F.col("low") != F.col("high")).alias("mixed")), small=True)
+    found, path = common.written(all_.join(anchors, "h"), "repeats")
     common.remove(spark, everything)
     # one stretch of each content where an anchor has several
     ones = common.checkpointed(found.where("mixed").groupBy("h", "c").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "t", "a", "n", "o")).alias("x")).select("h", "c", "copies", "x.*"))

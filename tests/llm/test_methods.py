@@ -153,21 +153,28 @@ def test_components(spark):
 # --- rules, windows, pieces ---
 
 
-@given(st.lists(st.sampled_from("abc"), max_size=40))
+@given(st.lists(st.sampled_from("abc"), max_size=40), st.lists(st.sampled_from("ab"), max_size=20))
 @settings(max_examples=200, deadline=None)
-def test_suffix_array_of_words(letters):
-    words = [x.encode() for x in letters]
-    best, _ = repetition.longest_repeats([words, words])
-    n = len(words)
-    at = lambda i, j: next((k for k in range(n - max(i, j)) if words[i + k] != words[j + k]), n - max(i, j))
-    want = [max([at(i, j) for j in range(n) if j != i], default=0) for i in range(n)]
-    assert best.tolist() == want + want
+def test_repeats_by_intervals(letters, others):
+    texts = [[x.encode() for x in letters], [], [x.encode() for x in others], [x.encode() for x in letters]]
     for least in (1, 3):
-        spans = np.zeros(n, bool)
-        for length, starts in repetition.maximal_repeats(words, least):
-            for s in starts:
-                spans[s : s + length] = True
-        assert spans.tolist() == repetition.covered(best[:n], least).tolist()
+        got, longest, offsets = repetition.longest_repeats(texts, least)
+        for k, words in enumerate(texts):
+            n = len(words)
+            at = lambda i, j: next((k for k in range(n - max(i, j)) if words[i + k] != words[j + k]), n - max(i, j))  # noqa: B023, E731
+            want = [max([at(i, j) for j in range(n) if j != i], default=0) for i in range(n)]
+            spans, union = np.zeros(n, bool), np.zeros(n, bool)
+            for i, size in enumerate(want):
+                if size >= least:
+                    union[i : i + size] = True
+            repeats = repetition.maximal_repeats(words, least)
+            for length, starts in repeats:
+                assert len({tuple(words[s : s + length]) for s in starts}) == 1 and len(starts) > 1
+                for s in starts:
+                    spans[s : s + length] = True
+            own = got[offsets[k] : offsets[k + 1]]
+            assert union.tolist() == spans.tolist() == repetition.covered(own, least).tolist()
+            assert longest[k] == max([x for x in want if x >= least], default=0) == max([x for x, _ in repeats], default=0)
 
 
 def test_windows_in_blocks(spark):
