@@ -37,48 +37,68 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Windows:
-    """The windows of one block of items."""
+    """The windows of one block of items: some 25 bytes each in flat arrays, besides a dictionary of the block's different words."""
 
     def __init__(self, items: list[tuple[int, bytes]], window: int = WINDOW) -> None:
         self.ids: dict[bytes, int] = {}
-        self.sets: dict[int, dict[int, list[tuple[tuple[int, ...], int]]]] = defaultdict(lambda: defaultdict(list))
-        for item, text in items:
-            words = [self.ids.setdefault(w, len(self.ids)) for w in words_of(text)]
-            size = min(window, len(words))
-            if not size:
+        texts = [np.fromiter((self.ids.setdefault(w, len(self.ids)) for w in words_of(text)), np.int32) for _, text in items]
+        sizes = np.array([len(x) for x in texts], np.int64)
+        self.words = np.concatenate([*texts, np.zeros(0, np.int32)])
+        starts, numbers = np.cumsum(sizes) - sizes, np.array([x[0] for x in items], np.int64)
+        del texts
+        #: by window length: sorted hashes, where in ``words`` each window starts, its item, and a bitmap of 20 bits that turns nearly all others away
+        self.sets: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size in np.unique(np.minimum(sizes, window)).tolist():
+            own = np.flatnonzero(np.minimum(sizes, window) == size)
+            if not size or not len(own):
                 continue
-            hashes = rolled(mixed(np.array(words, np.uint64) + np.uint64(1)), size)
-            for at, h in enumerate(hashes.tolist()):
-                own = (tuple(words[at : at + size]), item)
-                if own not in self.sets[size][h]:
-                    self.sets[size][h].append(own)
-        self.sets = {size: dict(x) for size, x in self.sets.items()}
-        self.sorted = {size: np.sort(np.fromiter(x, np.uint64, len(x))) for size, x in self.sets.items()}
-        self.first = {}
-        for size, found in self.sorted.items():  # a bitmap of 20 bits turns nearly all other windows away
-            self.first[size] = np.zeros(1 << 20, bool)
-            self.first[size][(found >> np.uint64(44)).astype(np.int64)] = True
+            counts = sizes[own] - size + 1
+            of = np.repeat(own, counts)
+            at = starts[of] + np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+            hashes = rolled(mixed(self.words.astype(np.uint64) + np.uint64(1)), size)[at]
+            by = np.lexsort((numbers[of], hashes))
+            hashes, at, item = hashes[by], at[by], numbers[of][by]
+            # a window that its item has twice is kept once
+            twice = np.flatnonzero((hashes[1:] == hashes[:-1]) & (item[1:] == item[:-1]))
+            twice = twice[self._same(self.words, at[twice], self.words, at[twice + 1], size)]
+            keep = np.ones(len(at), bool)
+            keep[twice + 1] = False
+            hashes, at, item = hashes[keep], at[keep].astype(np.int32), item[keep]
+            bits = np.zeros(1 << 20, bool)
+            bits[(hashes >> np.uint64(44)).astype(np.int64)] = True
+            self.sets[size] = hashes, at, item, bits
+
+    @staticmethod
+    def _same(x: np.ndarray, at: np.ndarray, y: np.ndarray, there: np.ndarray, size: int) -> np.ndarray:
+        """Which runs of ``size`` values are equal, value by value."""
+        out = np.ones(len(at), bool)
+        for k in range(size):
+            out &= x[at + k] == y[there + k]
+        return out
 
     def scan(self, texts: list[bytes]) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
         """For each text its number of words and the (start, length, item) of the windows that it holds."""
         words = [words_of(t) for t in texts]
         sizes = [len(x) for x in words]
         get = self.ids.get
-        flat = np.fromiter((get(w, -1) for x in words for w in (*x, None)), np.int64, sum(sizes) + len(sizes))
+        flat = np.fromiter((get(w, -1) for x in words for w in (*x, None)), np.int32, sum(sizes) + len(sizes))
         offsets = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64) + 1)])
-        hashed = mixed((flat + 1).astype(np.uint64))
+        hashed = mixed((flat.astype(np.int64) + 1).astype(np.uint64))
         hits: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for size, of in self.sets.items():
+        for size, (exact, starts, items, bits) in self.sets.items():
             if len(flat) < size:
                 continue
             found = rolled(hashed, size)
-            maybe = np.flatnonzero(self.first[size][(found >> np.uint64(44)).astype(np.int64)])
-            exact = self.sorted[size]
-            where = np.minimum(np.searchsorted(exact, found[maybe]), len(exact) - 1)
-            for at in maybe[exact[where] == found[maybe]].tolist():
-                run = tuple(flat[at : at + size].tolist())
-                doc = int(np.searchsorted(offsets, at, side="right")) - 1
-                hits[doc] += [(at - int(offsets[doc]), size, item) for window, item in of[int(found[at])] if window == run]
+            at = np.flatnonzero(bits[(found >> np.uint64(44)).astype(np.int64)])
+            low = np.searchsorted(exact, found[at], side="left")
+            n = np.searchsorted(exact, found[at], side="right") - low
+            which = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            at = np.repeat(at, n)
+            real = self._same(flat, at, self.words, starts[which], size)
+            at, which = at[real], which[real]
+            doc = np.searchsorted(offsets, at, side="right") - 1
+            for d, a, item in zip(doc.tolist(), (at - offsets[doc]).tolist(), items[which].tolist(), strict=True):
+                hits[d].append((a, size, item))
         return ((n, hits.get(k, [])) for k, n in enumerate(sizes))
 
 
@@ -159,9 +179,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     if len(blocks) <= 1:
         shared = docs.sparkSession.sparkContext.broadcast(Windows(next(_blocks(benchmark, block_words)), window))
         return common.kept_rows(docs, lambda text: [not _verdict(n, x)[-1] for n, x in shared.value.scan(common.texts(text))])
-    bad = _in_blocks(common.id_and_text(docs), benchmark, window, block_words).where("contaminated").select(F.col("doc_id").alias("__bad"), F.col("h").alias("__h")).distinct()
+    id_, hash_ = common.fresh(docs, "id", "hash")
+    bad = _in_blocks(common.id_and_text(docs), benchmark, window, block_words).where("contaminated").select(F.col("doc_id").alias(id_), F.col("h").alias(hash_)).distinct()
     own = F.xxhash64(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__bad")) & (own == F.col("__h")), "left_anti")
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (own == F.col(hash_)), "left_anti")
 
 
 def _sizes(benchmark: DataFrame, most: int) -> Iterator[int]:

@@ -6,14 +6,17 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tallytree.llm import decontaminate, language, pieces, quality, repetition, rollups, simhash, suffixes, toxicity, training_order
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, fingerprint string, h long, t long, y int, found string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, fingerprint string, h long, t long, y int, found string, __id long, __t long, __bad long, __h long, __fp long, __text string, id long, _id string, d long, print int, hash long, spans string, place int"
 PROSE = "the quick brown fox jumps over the lazy dog and runs far away from all the others. "
 TEXTS = [None, "", " \n\t", "a", PROSE * 3, PROSE * 3, "ein zwei drei vier fünf\nein zwei drei vier fünf\n☃ 北京 ²", "x" * 5000, "word " * 40_000, PROSE + "you worthless idiot!", "123 456", "<<<### $$$", "İstanbul ſ K"]
 
+#: Values of columns with names that stages could use for themselves.
+MORE = (1, 2, 3, 4, 5, "t", 6, "_", 7, 8, 9, "s", 10)
+
 
 def rows():
-    out = [(k, t, ["en", "de", None][k % 3], ["s1", None][k % 2], len(t) if t is not None else None, 0.5, "x", 1, 2, 3, "z") for k, t in enumerate(TEXTS)]
-    return [*out, out[4], (None, PROSE, "en", "s1", 0, 0.0, "", 0, 0, 0, ""), (4, "another text with the id of some other row", "en", "s1", 0, 0.0, "", 0, 0, 0, "")]
+    out = [(k, t, ["en", "de", None][k % 3], ["s1", None][k % 2], len(t) if t is not None else None, 0.5, "x", 1, 2, 3, "z", *MORE) for k, t in enumerate(TEXTS)]
+    return [*out, out[4], (None, PROSE, "en", "s1", 0, 0.0, "", 0, 0, 0, "", *MORE), (4, "another text with the id of some other row", "en", "s1", 0, 0.0, "", 0, 0, 0, "", *MORE)]
 
 
 @pytest.fixture(scope="module")
@@ -130,6 +133,26 @@ def test_stages_keep_columns(spark, docs, empty, labels, benchmark, tmp_path, na
         assert 9 not in {r.doc_id for r in found}
 
 
+def test_names_of_a_stage_with_a_benchmark_in_blocks(docs, benchmark):
+    got = decontaminate.drop_contaminated(docs, benchmark, block_words=2)
+    assert got.columns == docs.columns and sorted(map(repr, got.collect())) == sorted(map(repr, decontaminate.drop_contaminated(docs, benchmark).collect()))
+
+
+def test_a_text_of_tens_of_megabytes(spark, labels, benchmark):
+    """One row of 24 MB beside a small one: whole results, in bounded memory."""
+    long = (PROSE * 6 + "".join(f"w{k % 977} " for k in range(250))) * 14_000
+    long = long[: 24 << 20]
+    two = spark.createDataFrame([(1, long, "en", "s"), (2, PROSE, "en", "s")], "doc_id long, text string, lang string, source string")
+    cut = {r.doc_id: r for r in suffixes.suffix_dedup(two).select("doc_id", "n_bytes", "n_removed", "n_spans").collect()}
+    assert cut[1].n_bytes == len(long) and cut[1].n_removed == len(long) and cut[1].n_spans == 1 and cut[2].n_removed == 0
+    rules = {r.doc_id: r for r in repetition.quality_rules(two).collect()}
+    assert rules[1].n_repeat_words == rules[1].n_words == len(long.split()) and rules[1].base_failed
+    hit = {r.doc_id: r for r in decontaminate.contamination(two, benchmark).collect()}
+    assert hit[1].n_hit == 3 * long.count("brown fox jumps") and hit[1].contaminated == (20 * hit[1].n_hit >= hit[1].n_words)
+    assert simhash.near_duplicates(two).count() == 2
+    assert {r.doc_id: r.n_words for r in language.language_scores(two, language.train(two)).collect()}[1] > 1_000_000
+
+
 def test_last_stage(spark, docs, empty):
     got = corpus_pipeline.sentencepiece_encoding(spark, docs, "")
     texts = {(r.doc_id, r.text) for r in pieces.decode(got).collect()}
