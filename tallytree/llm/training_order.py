@@ -1,16 +1,18 @@
 """Token-ID / binary output (1): sequences in a random but replayable training order, in fixed-stride shards.
 
 Each text's token ids and an end token are cut into sequences of ``length`` tokens, the last one padded.
-A sequence's number is its partition of the scan and its place there. A keyed Feistel network over the
-least even power of two not below the count of numbers, with cycle-walking (what falls outside is sent
-through again), permutes the numbers without any table. A shard is a range of permuted numbers; one task
-sorts it and writes it as one file with a fixed stride. A sequence's slot is its rank in that order: the
-shard's first slot, known from the shards' sizes, and its place in the file. So texts are tokenised
-once, the tokens are shuffled once, and no pass is needed to count them beforehand. Reading in order,
-from any slot on, is sequential.
-
-An input that isn't a plain scan is written to the shared folder first, so that a repeated task numbers as
-before. Shards are written aside and renamed, so that it replaces its file.
+Rows are numbered by file, in order of the paths, and by place in the file; a sequence's number is its row's
+number and its place in the text. So a number doesn't depend on how Spark splits files into tasks, and the
+same files and key give the same order on any cluster. A keyed Feistel network over the least even power of
+two not below the count of numbers, with cycle-walking (what falls outside is sent through again), permutes
+the numbers without any table. A shard is a range of permuted numbers; one task sorts it and writes it as
+one file with a fixed stride. A sequence's slot is its rank in that order: the shard's first slot, known from
+the shards' sizes, and its place in the file. So texts are tokenised once, the tokens are shuffled once, and
+no pass is needed to count them beforehand. Reading in order, from any slot on, is sequential.
+
+An input that isn't a plain scan of Parquet files is written to the shared folder first and numbered there.
+The driver holds a path and a number for each file. Shards are written aside and renamed, so that a repeated
+task replaces its file.
 
 Defined results: null and empty texts give one sequence with the end token alone; repeated rows give
 sequences each; null ids stay null; an empty table gives no shard; other columns are ignored.
@@ -18,6 +20,7 @@ sequences each; null ids stay null; an empty table gives no shard; other columns
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -25,7 +28,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +35,8 @@ from . import common, tokens
 from .hashing import mixed
 
 LENGTH, SHARD_BYTES, ROUNDS, KEY = 256, 16 << 20, 6, 20240501
-#: Bits of a sequence's number for its place in its partition.
-PLACE = 36
+#: Bits of a sequence's number for its place in its text: a text has 2^31 bytes at most, so fewer than 2^31 tokens.
+PLACE = 23
 
 
 class Permutation:
@@ -68,38 +70,47 @@ class Permutation:
 RAW = "shard int, place long, doc_id long, seq_no int, n_tokens int, crc32 long"
 
 
-def _stable(docs: DataFrame) -> tuple[DataFrame, str | None]:
-    rows = common.id_and_text(docs)
-    plan = rows._jdf.queryExecution().executedPlan().toString()
-    if "FileScan" in plan and not any(x in plan for x in ("Exchange", "AdaptiveSparkPlan", "Python", "Arrow", "ExistingRDD")):
-        return rows, None
-    return common.written(rows, "texts")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, int], int, str | None]:
+    """Rows with their file and place there, each file's first number, the count of rows, and a folder to remove afterwards."""
+    rows, temporary = common.id_and_text(docs), None
+    steps = re.findall(r"(?m)^[^A-Za-z]*(?:\(\d+\) )?([A-Za-z]+)( parquet)?", rows._jdf.queryExecution().executedPlan().toString())
+    if not {"".join(x) for x in steps} <= {"Project", "Filter", "ColumnarToRow", "FileScan parquet"}:
+        rows, temporary = common.written(rows, "texts")
+        docs = rows
+    source = docs.metadataColumn("_metadata")
+    places = docs.select(source["file_path"].alias("path"), source["row_index"].alias("row"))
+    counts = sorted((r.path, r.n) for r in places.groupBy("path").agg(F.count("*").alias("n")).collect())  # footers alone are read
+    firsts = np.concatenate([[0], np.cumsum([n for _, n in counts])]).astype(int).tolist()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), source["file_path"].alias("path"), source["row_index"].alias("row"))
+    return rows, {path: first for (path, _), first in zip(counts, firsts, strict=False)}, firsts[-1], temporary
 
 
-def materialise(docs: DataFrame, out: str, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, key: int = KEY, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
-    """Writes shards of about ``shard_bytes`` and a manifest under ``out``; returns the manifest, one row for each sequence."""
+def materialise(docs: DataFrame, out: str, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, key: int = KEY, vocabulary: str = tokens.VOCABULARY, shards: int | None = None) -> DataFrame:
+    """Writes ``shards`` shards, else as many as make them about ``shard_bytes`` long, and a manifest under ``out``; returns the manifest, one row for each sequence."""
     spark = docs.sparkSession
-    rows, temporary = _stable(docs)
+    rows, files, total, temporary = _numbered(docs)
     stride, pad = 2 * length, tokens.END.to_bytes(2, "little")
     # sizes in files, compressed: about as many bytes again come out
     size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    shards = max(1, min(1 << 20, -(-3 * size // (2 * shard_bytes))))
-    parts = max(1, rows.rdd.getNumPartitions())
-    order = Permutation(parts << PLACE, key)
+    shards = shards or max(1, min(1 << 20, -(-3 * size // (2 * shard_bytes))))
+    order = Permutation(max(1, total) << PLACE, key)
     width = -(-order.n // shards)
+    firsts = spark.sparkContext.broadcast(files)
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = TaskContext.get().partitionId() << PLACE
         for batch in common.sliced(batches):
-            ids, numbers, payloads = [], [], []
+            ids, numbers, payloads, counts = [], [], [], []
+            path = batch.column(2).dictionary_encode()
+            first = np.array([firsts.value[x] for x in path.dictionary.to_pylist()], np.uint64)[np.asarray(path.indices)]
             for doc, text in zip(batch.column(0).to_pylist(), common.texts(batch.column(1)), strict=True):
                 own = tokens.packed(text.decode(), vocabulary) + pad
                 n = -(-len(own) // stride)
                 ids += [doc] * n
                 numbers += range(n)
+                counts.append(n)
                 payloads += [own[stride * k : stride * (k + 1)] for k in range(n)]
-            permuted = order.slots(np.arange(at, at + len(ids), dtype=np.uint64))
-            at += len(ids)
+            row = (first + np.asarray(batch.column(3)).astype(np.uint64)) << np.uint64(PLACE)
+            permuted = order.slots(np.repeat(row, counts) + np.array(numbers, np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(permuted), pa.array((permuted // width).astype(np.int32)), pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(payloads, pa.binary())], names=["key", "shard", "doc_id", "seq_no", "payload"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,8 +143,8 @@ def materialise(docs: DataFrame, out: str, length: int = LENGTH, shard_bytes: in
         common.remove(spark, temporary)
     # a row for each shard: its first slot
     sizes = sorted((r.shard, r["count"]) for r in spark.read.schema(RAW).parquet(f"{out}/sequences").groupBy("shard").count().collect())
-    firsts = np.concatenate([[0], np.cumsum([n for _, n in sizes])]).astype(int).tolist()
-    spark.createDataFrame([(shard, firsts[k], n) for k, (shard, n) in enumerate(sizes)], "shard int, first long, n long").repartition(1).write.option("compression", "zstd").parquet(f"{out}/shards")
+    begin = np.concatenate([[0], np.cumsum([n for _, n in sizes])]).astype(int).tolist()
+    spark.createDataFrame([(shard, begin[k], n) for k, (shard, n) in enumerate(sizes)], "shard int, first long, n long").repartition(1).write.option("compression", "zstd").parquet(f"{out}/shards")
     return manifest(spark, out, length)
 
 

@@ -12,6 +12,7 @@ from conftest import DATA, plain
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from tallytree.llm.hashing import mixed as common_mixed
 from tallytree.llm import common, components, decontaminate, language, pieces, quality, queries, repetition, rollups, simhash, suffixes, tokens, toxicity, training_order
 
 SF = f"{DATA}/sf0.01"
@@ -328,6 +329,59 @@ def test_training_order_gives_back_the_texts(spark, tmp_path):
         assert ids[-1] == tokens.END and tokens.encoding().decode(ids[:-1]) == r.text
 
 
+def brute_order(rows, length, shards, key=training_order.KEY):
+    """Slots, shards, offsets and padded sequences by the definition: numbers, a scalar Feistel network, and a sort."""
+    n = len(rows) << training_order.PLACE
+    half = -(-(n - 1).bit_length() // 2)
+    mask = (1 << half) - 1
+    mix = lambda x: int(common_mixed(np.array([x & (2**64 - 1)], np.uint64))[0])
+    keys = [mix(r * 0x9E3779B97F4A7C15 + key) for r in range(1, training_order.ROUNDS + 1)]
+
+    def permuted(x):
+        while True:
+            a, b = x >> half, x & mask
+            for k in keys:
+                a, b = b, a ^ (mix(b + k) & mask)
+            x = (b << half) | a
+            if x < n:
+                return x
+
+    found = []
+    for row, (doc, text) in enumerate(rows):
+        ids = [*tokens.encoding().encode_ordinary(text or ""), tokens.END]
+        for seq, at in enumerate(range(0, len(ids), length)):
+            own = ids[at : at + length]
+            found.append((permuted((row << training_order.PLACE) + seq), doc, seq, len(own), own + [tokens.END] * (length - len(own))))
+    found.sort()
+    width, place, out = -(-n // shards), Counter(), []
+    for slot, (number, doc, seq, size, ids) in enumerate(found):
+        shard = number // width
+        out.append((slot, shard, place[shard] * 2 * length, doc, seq, size, ids))
+        place[shard] += 1
+    return out
+
+
+def test_training_order_by_brute_force(spark, tmp_path):
+    """Slots, shards, offsets and what stands in the files; and that splits of the scan change nothing."""
+    rows = common.table(spark, f"{DATA}/sf0.001", "documents").select("doc_id", "text").limit(60).collect()
+    parts = [rows[:25], rows[25:], []]
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, "doc_id long, text string").coalesce(1).write.option("parquet.block.size", 4096).parquet(f"{tmp_path}/in/part={k}")
+    most, want = spark.conf.get("spark.sql.files.maxPartitionBytes"), brute_order([tuple(r) for r in rows], 32, 7)
+    try:
+        for n, size in enumerate(("128m", "3k")):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            docs = spark.read.parquet(f"file://{tmp_path}/in")
+            got = sorted(tuple(r)[:6] for r in training_order.materialise(docs, f"file://{tmp_path}/out{n}", 32, shards=7).collect())
+            assert got == [x[:6] for x in want]
+            for r in want[:: len(want) // 40 + 1]:
+                with open(f"{tmp_path}/out{n}/shard-{r[1]:08d}.bin", "rb") as f:
+                    f.seek(r[2])
+                    assert np.frombuffer(f.read(64), "<u2").tolist() == r[6]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+
+
 def test_token_counts(spark):
     want = Counter()
     for r in common.table(spark, f"{DATA}/sf0.001", "documents").collect():
