@@ -331,9 +331,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     # what has copies is a repeat as a whole; a row that is there twice gives its stretches twice
     whole = ones.where("copies > 1").select("h", "c", F.lit(0).alias("first"), (F.col("n") - 1).alias("last"))
     shared = common.checkpointed(shared.unionByName(whole).groupBy("h", "c").agg(F.min("first").alias("first"), F.max("last").alias("last")))
-    alike = found.where("NOT mixed").select("doc_id", "t", "a", (F.col("a") + F.col("n") + (length - 1)).alias("b"))
-    other = found.where("mixed").join(shared, ["h", "c"]).select("doc_id", "t", (F.col("a") + F.col("first")).alias("a"), (F.col("a") + F.col("last") + length).alias("b"))
-    spans = common.checkpointed(alike.unionByName(other).groupBy("doc_id", "t").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
+    # a stretch of an anchor that has no other is a repeat as a whole
+    marked = found.join(shared, ["h", "c"], "left").where("NOT mixed OR first IS NOT NULL")
+    first, last = F.coalesce("first", F.lit(0)), F.coalesce("last", F.col("n") - 1)
+    spans = marked.select("doc_id", "t", (F.col("a") + first).alias("a"), (F.col("a") + last + length).alias("b"))
+    spans = common.checkpointed(spans.groupBy("doc_id", "t").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
     common.remove(spark, path)
     return spans
 
