@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common
 from .hashing import mixed, rolled
@@ -201,21 +202,24 @@ def fit(kinds: list[bytes], of: np.ndarray, gold: np.ndarray, lengths: np.ndarra
 
 
 def train(docs: DataFrame, per_language: int = 500, seed: int = 7) -> Chain:
-    """From the whole texts of at most ``per_language`` documents of each language."""
+    """From the whole texts of at most ``per_language`` documents of each language; an id's least text if it has several.
+
+    Two scans, however many languages there are: one ranks ids by a hash (each task passes on so many of a language at
+    most, and no text), one reads the chosen texts.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & ~common.held_out(F.col("doc_id")))
-    languages = sorted(r.lang for r in rows.select("lang").distinct().collect())
+    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = rows.select("lang", "doc_id").withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= per_language).select("lang", "doc_id").distinct()
 
     def normal(batches):
         for batch in common.sliced(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([b" ".join(words_of(t)) for t in common.texts(batch.column(2))], pa.binary())], names=["doc_id", "lang", "text"])
 
-    found = []
-    for lang in languages:
-        # ids are chosen first, so that only the chosen texts are read as a whole
-        ids = rows.where(F.col("lang") == lang).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language)
-        found += rows.where(F.col("lang") == lang).join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(normal, "doc_id long, lang string, text binary").collect()
-    found = sorted({(r.doc_id, r.lang, bytes(r.text)) for r in found if r.text})
+    texts = rows.join(F.broadcast(ids), ["lang", "doc_id"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    found = sorted((r.doc_id, r.lang, bytes(r.text)) for r in texts.mapInArrow(normal, "doc_id long, lang string, text binary").collect())
+    languages = sorted({lang for _, lang, _ in found})
+    found = [x for x in found if x[2]]
     rng = np.random.default_rng(seed)
     numbers: dict[bytes, int] = {}
     spans = []
