@@ -159,11 +159,12 @@ def bounded_labels(docs: DataFrame, labels: DataFrame, label: str, per_class: in
     """At most ``per_class`` labelled training rows of either class, chosen by a hash of doc_id: (doc_id, y, text).
 
     Held-out rows and labels other than 0 and 1 are left out; a doc_id with several labels takes
-    the largest. The sample's size doesn't grow with the input, so it is broadcast to the scan of ``docs``.
+    the largest, one with several rows the least text. The ids chosen don't grow with the input, so they are
+    broadcast to the scan of ``docs``; neither do the rows returned, however often an id is repeated.
     """
     rows = _training_labels(labels, label)
     some = None
     for kind in (0, 1):
         part = rows.where(F.col("y") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         some = part if some is None else some.unionByName(part)
-    return id_and_text(docs).join(F.broadcast(some), "doc_id").select("doc_id", "y", "text")
+    return id_and_text(docs).join(F.broadcast(some), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))

@@ -3,6 +3,8 @@
 import hashlib
 import itertools
 import random
+import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -238,6 +240,95 @@ def test_held_out_labels(spark, name, label, least):
     assert all(0 <= r.score <= 1 and again[r.doc_id] == pytest.approx(r.score, abs=1e-9) for r in rows)
 
 
+def plain_features(text):
+    """The classifier's inputs, character by character."""
+    raw = text.encode()
+    if not raw.split():
+        return [np.log1p(len(raw))] + [0.0] * (len(quality.FEATURES) - 1)
+    words, lines = raw.split(), [x for x in raw.split(b"\n") if x.strip()] if b"\n" in raw else [raw]
+    k, seen, n = len(words), Counter(words), len(raw)
+    white = sum(c in b" \t\v\f\r\n" for c in raw)
+    count = lambda chars: sum(c in chars for c in raw)
+    upper, digit, symbol, bang = (count(x) for x in (bytes(range(65, 91)), bytes(range(48, 58)), b"#*$%&|<>^~=@_{}[]\\/+", b"!"))
+    lower, wide = count(bytes(range(97, 123))), sum(c >= 128 for c in raw)
+    visible = n - white
+    other = visible - upper - lower - digit - symbol - bang - wide
+    grams = [tuple(words[i : i + 4]) for i in range(k - 3)]
+    letter = lambda w: any(chr(c).isalpha() and c < 128 for c in w)
+    return [
+        np.log1p(n), np.log1p(k), visible / k, upper / visible, digit / visible, symbol / visible, bang / visible, other / visible, raw.count(b"\n") / n, wide / visible,
+        -sum(c / n * np.log2(c / n) for c in Counter(raw).values()), len(seen) / k, max(seen.values()) / k, 1 - len(set(grams)) / max(1, k - 3), 1 - len(set(lines)) / len(lines),
+        sum(w[-1] < 128 and not chr(w[-1]).isalnum() for w in words) / k, sum(all(c < 128 for c in w) and not letter(w) for w in words) / k, sum(len(w) <= 3 for w in words) / k,
+        np.log1p(max(map(len, words))), np.log1p(k / len(lines)),
+    ]
+
+
+def test_quality_scores_by_brute_force(spark):
+    """The registered query, row by row: features by characters, then intercept, tables and pairs looked up one by one."""
+    sf = f"{DATA}/sf0.001"
+    docs = common.table(spark, sf, "documents")
+    model = quality.train(docs, common.table(spark, sf, "labels"))
+    got = {r.doc_id: r for r in queries.QUERIES["op3_quality_classifier"](spark, sf).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert got.keys() == texts.keys()
+    bin_ = lambda cuts, v: sum(1 for c in cuts if c <= v)
+    for doc, text in texts.items():
+        x = plain_features(text)
+        assert quality.features(text.encode()) == pytest.approx(x, abs=1e-9), doc
+        x = quality.features(text.encode())
+        total = model.intercept + sum(model.tables[j][bin_(model.cuts[j], v)] for j, v in enumerate(x)) + sum(t[bin_(ca, x[a]), bin_(cb, x[b])] for a, b, ca, cb, t in model.pairs)
+        score = 1 / (1 + np.exp(-total))
+        assert got[doc].score == pytest.approx(score, abs=1e-6) and got[doc].predicted == int(got[doc].score >= 0.3) and got[doc].held_out == (zlib.crc32(str(doc).encode()) % 5 == 0)
+
+
+def test_toxicity_scores_by_brute_force(spark):
+    """The registered query, row by row: the product over sentences that none of them is toxic."""
+    sf = f"{DATA}/sf0.001"
+    docs = common.table(spark, sf, "documents")
+    model = toxicity.train(docs, common.table(spark, sf, "labels"))
+    assert model.weights and all(w > 0 for w in model.weights.values())
+    got = {r.doc_id: r for r in queries.QUERIES["op5_toxicity"](spark, sf).collect()}
+    for r in docs.collect():
+        clean = np.exp(-model.leak)
+        for sentence in re.split(r"[.!?\n]", r.text.lower()):
+            words = re.findall(r"[a-z\u0080-\U0010ffff]+", sentence)
+            z = sum(model.weights.get(x.encode(), 0) for w in words for x in [w, *("^" + w[:n] for n in (4, 5, 6, 7) if len(w) > n)])
+            clean *= (1 + np.exp(model.bias)) / (1 + np.exp(model.bias + z))
+        assert got[r.doc_id].score == pytest.approx(1 - clean, abs=1e-6) and got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.5) and got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_language_scores_by_brute_force(spark):
+    """Every row's prediction from forward and backward sums over its whole chain, word by word, n-gram by n-gram."""
+    docs = common.table(spark, f"{DATA}/sf0.001", "documents")
+    model = language.train(docs, per_language=40)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.language_scores(docs, model).collect()}
+    k = len(model.languages)
+    for row in docs.orderBy("n_chars").limit(60).collect():
+        words = language.words_of(row.text.encode())
+        if not words:
+            assert got[row.doc_id] == ("und", 0.0)
+            continue
+        e = np.array([model.emissions([w])[0] for w in words])
+        alpha, beta = [e[0] + model.first], [np.zeros(k)]
+        for x in e[1:]:
+            alpha.append(x + np.logaddexp.reduce(alpha[-1][:, None] + model.steps, axis=0))
+        for x in e[:0:-1]:
+            beta.append(np.logaddexp.reduce(model.steps + x + beta[-1], axis=1))
+        log = np.array(alpha) + np.array(beta[::-1])
+        gamma = np.exp(log - np.logaddexp.reduce(log, axis=1)[:, None]).mean(axis=0)
+        assert got[row.doc_id] == (model.languages[int(gamma.argmax())], pytest.approx(min(1.0, gamma.max()), abs=1e-6))
+
+
+def test_samples_are_bounded_in_rows(spark):
+    """An id a thousand times is one row of the sample."""
+    rows = [(1, f"text {k:04d}", "en") for k in range(1000)] + [(k, f"text of {k}", "de") for k in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(1, 40)], "doc_id long, quality int, toxic int")
+    got = common.bounded_labels(docs, labels, "quality", 100).collect()
+    assert len(got) == len({r.doc_id for r in got}) and [bytes(r.text) for r in got if r.doc_id == 1] == [b"text 0000"] * (not common.is_held_out(1))
+    assert language.train(docs).languages == (["de"] if common.is_held_out(1) else ["de", "en"])
+
+
 def test_offending_sentences():
     model = toxicity.NoisyOr({b"idiot": 9.0}, -4.0, 0.001)
     score, found = model.score(b"A fine day. You idiot! Goodbye.")
