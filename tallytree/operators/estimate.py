@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -44,31 +44,36 @@ def project(df: DataFrame, group: list[str], value: str, total: str, tie: str =
     return df.withColumn("x", F.col("__f") + F.when(F.col("__n") <= F.col("__m"), 1).otherwise(0)).drop("__i", "__cs", "__k", "__e", "__f", "__r", "__m", "__n")
 
 
+def _ids(spark: SparkSession, zeros: set[int]) -> DataFrame:
+    """Cells as a frame to broadcast; the domain's limit bounds them."""
+    return F.broadcast(spark.createDataFrame([(int(z),) for z in sorted(zeros)], "cell_id int"))
+
+
 def _open(level: DataFrame, zeros: set[int]) -> DataFrame:
     """Without the cells that must be empty."""
-    if not zeros:
-        return level
-    ids = level.sparkSession.createDataFrame([(int(z),) for z in sorted(zeros)], "cell_id int")
-    return level.join(F.broadcast(ids), "cell_id", "left_anti")
+    return level.join(_ids(level.sparkSession, zeros), "cell_id", "left_anti") if zeros else level
 
 
-def _with_zeros(solved: DataFrame, level: DataFrame, path: list[str]) -> DataFrame:
-    """All cells again, the empty ones with 0."""
-    keys = [*path, "cell_id"]
-    return level.join(solved.select(*keys, "relaxed", "x"), keys, "left").select(*level.columns, F.coalesce("relaxed", F.lit(0.0)).alias("relaxed"), F.coalesce("x", F.lit(0)).cast("long").alias("x"))
+def _with_zeros(solved: DataFrame, level: DataFrame, zeros: set[int]) -> DataFrame:
+    """All cells again, the empty ones with 0; ``solved`` has the columns of ``level``, so nothing is shuffled."""
+    solved = solved.select(*level.columns, "relaxed", "x")
+    if not zeros:
+        return solved
+    empty = level.join(_ids(level.sparkSession, zeros), "cell_id", "left_semi")
+    return solved.unionByName(empty.select(*level.columns, F.lit(0.0).alias("relaxed"), F.lit(0).cast("long").alias("x")))
 
 
 def estimate_root(level: DataFrame, held: Compiled, seed: int = 0) -> DataFrame:
     """(cell_id, n, noisy, relaxed, x) of the root: one node, whose cells the domain's limit bounds."""
     open_ = _open(level, held.zeros)
     if not held.sums:
-        return _with_zeros(open_.withColumns({"x": F.greatest("noisy", F.lit(0)), "relaxed": F.greatest("noisy", F.lit(0)).cast("double")}), level, [])
-    n_open = level.count() - len(held.zeros)
+        return _with_zeros(open_.withColumns({"x": F.greatest("noisy", F.lit(0)), "relaxed": F.greatest("noisy", F.lit(0)).cast("double")}), level, held.zeros)
+    n_open = open_.count()
     if len(held.sums) == 1 and len(held.sums[0][1]) == n_open:
         total = held.sums[0][2].first().rhs
         rows = open_.withColumns({"__g": F.lit(0), "__p": F.lit(total).cast("long"), "tb": tie_breaker(seed, [])})
-        return _with_zeros(project(rows, ["__g"], "noisy", "__p"), level, [])
-    rows = open_.withColumn("tb", tie_breaker(seed, [])).select("cell_id", "noisy", "tb").orderBy("cell_id").toPandas()
+        return _with_zeros(project(rows, ["__g"], "noisy", "__p"), level, held.zeros)
+    rows = open_.withColumn("tb", tie_breaker(seed, [])).select("cell_id", "n", "noisy", "tb").orderBy("cell_id").toPandas()
     at = {c: k for k, c in enumerate(rows.cell_id)}
     sums = [(0, np.array([at[c] for c in cells]), int(sides.first().rhs)) for _, cells, sides in held.sums]
     tie = rows.tb.rank().to_numpy()[None, :]
@@ -76,8 +81,8 @@ def estimate_root(level: DataFrame, held: Compiled, seed: int = 0) -> DataFrame:
         relaxed, x = solver.solve(rows.noisy.to_numpy()[None, :], None, sums, tie / max(1, len(rows)), np.ones((1, len(rows)), bool))
     except InfeasibleError as e:
         raise InfeasibleError(f"at the root: {e}; constraints: {', '.join(name for name, *_ in held.sums)}") from e
-    frame = pd.DataFrame({"cell_id": rows.cell_id.astype("int32"), "relaxed": relaxed[0], "x": x[0]})
-    return _with_zeros(level.sparkSession.createDataFrame(frame, "cell_id int, relaxed double, x long"), level, [])
+    frame = pd.DataFrame({"cell_id": rows.cell_id.astype("int32"), "n": rows.n, "noisy": rows.noisy, "relaxed": relaxed[0], "x": x[0]})
+    return _with_zeros(level.sparkSession.createDataFrame(frame, "cell_id int, n long, noisy long, relaxed double, x long"), level, held.zeros)
 
 
 def estimate_children(level: DataFrame, parents: DataFrame, path: list[str], held: Compiled, seed: int = 0) -> DataFrame:
@@ -86,11 +91,11 @@ def estimate_children(level: DataFrame, parents: DataFrame, path: list[str], hel
     above = parents.select(*up, "cell_id", F.col("x").alias("__p"))
     rows = _open(level, held.zeros).join(above, [*up, "cell_id"]).withColumn("tb", tie_breaker(seed, path))
     if held.zeros:
-        blocked = above.where(F.col("cell_id").isin(sorted(held.zeros)) & (F.col("__p") > 0)).take(1)
+        blocked = above.where(F.col("__p") > 0).join(_ids(level.sparkSession, held.zeros), "cell_id", "left_semi").take(1)
         if blocked:
             raise InfeasibleError(f"under {_named(up, blocked[0])}: cell {blocked[0].cell_id} must be empty, but its parent has {blocked[0]['__p']}")
     if not held.sums:
-        return _with_zeros(project(rows, [*up, "cell_id"], "noisy", "__p"), level, path)
+        return _with_zeros(project(rows, [*up, "cell_id"], "noisy", "__p"), level, held.zeros)
     totals = None
     for k, (_, _, sides) in enumerate(held.sums):
         one = sides.select(*path, F.col("rhs").alias(f"__s{k}"))
@@ -113,12 +118,12 @@ def estimate_children(level: DataFrame, parents: DataFrame, path: list[str], hel
         except InfeasibleError as e:
             where = "/".join(str(frame[u].iloc[0]) for u in up) or "the root"
             raise InfeasibleError(f"under {where}: {e}; constraints: {', '.join(names)}; seed {seed_}") from e
-        return frame[[*path, "cell_id"]].assign(relaxed=relaxed.ravel(), x=x.ravel())
+        return frame[[*path, "cell_id", "n", "noisy"]].assign(relaxed=relaxed.ravel(), x=x.ravel())
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = ", ".join([*(f"`{p}` {kinds[p]}" for p in path), "cell_id int, relaxed double, x long"])
+    schema = ", ".join([*(f"`{p}` {kinds[p]}" for p in path), "cell_id int, n long, noisy long, relaxed double, x long"])
     grouped = rows.groupBy(*up)
-    return _with_zeros(grouped.applyInPandas(one_parent, schema), level, path)
+    return _with_zeros(grouped.applyInPandas(one_parent, schema), level, held.zeros)
 
 
 def estimate(levels: list[DataFrame], hierarchy: list[str], held: list[Compiled], seed: int = 0) -> list[DataFrame]:

@@ -2,19 +2,33 @@
 
 A level l of the tree is one frame with the path columns hierarchy[:l], ``cell_id`` and ``n``; level 0
 is the root and has no path column. Keeping levels apart avoids null path parts in joins. Records are
-aggregated once, to leaves and cells; upper levels are sums of the level below.
+read and aggregated once, by ``compact``, to leaves and observed attribute values with their number; domain,
+nodes, totals and counts come from that, and upper levels are sums of the level below.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Cells beyond which a domain must be asked for expressly: it is broadcast, and every node has all of it.
 MOST_CELLS = 1_000_000
+#: The column of a compact frame that says how many records a row stands for.
+RECORDS = "__records"
+
+
+def compact(records: DataFrame, hierarchy: list[str], queries: list[str]) -> DataFrame:
+    """(*hierarchy, *queries, __records): how many records there are of each kind, nulls being values too."""
+    return records.groupBy(*hierarchy, *queries).agg(F.count(F.lit(1)).alias(RECORDS))
+
+
+def _number(rows: DataFrame) -> Column:
+    """The records that a group of ``rows`` stands for."""
+    return F.coalesce(F.sum(RECORDS), F.lit(0)) if RECORDS in rows.columns else F.count(F.lit(1))
 
 
 def domain(records: DataFrame, queries: list[str], most_cells: int = MOST_CELLS, null_policy: str = "drop") -> DataFrame:
@@ -25,25 +39,31 @@ def domain(records: DataFrame, queries: list[str], most_cells: int = MOST_CELLS,
     if not queries:
         raise ValueError("a domain needs at least one query column")
     values = [records.select(c).distinct() if null_policy == "value" else records.select(c).where(F.col(c).isNotNull()).distinct() for c in queries]
-    values = [v.cache() for v in values]
-    size = functools.reduce(lambda n, v: n * v.count(), values, 1)
-    if size > most_cells:
-        raise ValueError(f"the domain has {size} cells, over {most_cells}; raise most_cells to go on")
+    # all columns' numbers of values in one pass
+    found = records.agg(*(F.count_distinct(c).alias(f"n{k}") for k, c in enumerate(queries)), *(F.coalesce(F.max(F.col(c).isNull().cast("int")), F.lit(0)).alias(f"z{k}") for k, c in enumerate(queries))).first()
+    guard(math.prod(found[f"n{k}"] + (found[f"z{k}"] if null_policy == "value" else 0) for k in range(len(queries))), most_cells)
     product = functools.reduce(lambda a, b: a.crossJoin(F.broadcast(b)), values)
     order = Window.orderBy(*(F.col(c).asc_nulls_last() for c in queries))
     return product.select((F.row_number().over(order) - 1).alias("cell_id"), *queries)
 
 
-def public_domain(rows: DataFrame, queries: list[str]) -> DataFrame:
+def guard(size: int, most_cells: int = MOST_CELLS) -> None:
+    if size > most_cells:
+        raise ValueError(f"the domain has {size} cells, over {most_cells}; raise most_cells to go on")
+
+
+def public_domain(rows: DataFrame, queries: list[str], most_cells: int = MOST_CELLS) -> DataFrame:
     """A domain given beforehand (rows of query values), which so doesn't depend on the records."""
-    return rows.select(*queries).distinct().select((F.row_number().over(Window.orderBy(*queries)) - 1).alias("cell_id"), *queries)
+    cells = rows.select(*queries).distinct()
+    guard(cells.count(), most_cells)
+    return cells.select((F.row_number().over(Window.orderBy(*queries)) - 1).alias("cell_id"), *queries)
 
 
 def leaf_counts(records: DataFrame, hierarchy: list[str], queries: list[str], cells: DataFrame, null_policy: str = "drop") -> DataFrame:
     """(*hierarchy, cell_id, n) of the non-empty cells of all leaves: one pass, aggregated before the shuffle."""
     if null_policy == "drop":
         records = records.dropna(subset=queries)
-    counts = records.groupBy(*hierarchy, *queries).agg(F.count(F.lit(1)).alias("n"))
+    counts = records.withColumnRenamed(RECORDS, "n") if RECORDS in records.columns else records.groupBy(*hierarchy, *queries).agg(F.count(F.lit(1)).alias("n"))
     named = cells.select("cell_id", *(F.col(c).alias(f"__{c}") for c in queries))
     by = functools.reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in queries))
     return counts.join(F.broadcast(named), by).select(*hierarchy, "cell_id", "n")
@@ -51,7 +71,7 @@ def leaf_counts(records: DataFrame, hierarchy: list[str], queries: list[str], ce
 
 def nodes(records: DataFrame, hierarchy: list[str]) -> list[DataFrame]:
     """The nodes of each level with ``real_total``, the number of all their records; the root is one row."""
-    leaves = records.groupBy(*hierarchy).agg(F.count(F.lit(1)).alias("real_total")) if hierarchy else None
+    leaves = records.groupBy(*hierarchy).agg(_number(records).alias("real_total")) if hierarchy else None
     out = [leaves]
     for level in range(len(hierarchy) - 1, -1, -1):
         out.append(out[-1].groupBy(*hierarchy[:level]).agg(F.coalesce(F.sum("real_total"), F.lit(0)).alias("real_total")))
@@ -59,9 +79,16 @@ def nodes(records: DataFrame, hierarchy: list[str]) -> list[DataFrame]:
 
 
 def dense(counts: DataFrame, paths: DataFrame, path: list[str], n_cells: int) -> DataFrame:
-    """Every cell of every node, with 0 where nothing was counted."""
-    grid = paths.select(*path, F.explode(F.sequence(F.lit(0), F.lit(n_cells - 1))).alias("cell_id")) if n_cells else paths.select(*path, F.lit(0).alias("cell_id")).limit(0)
-    return grid.join(counts, [*path, "cell_id"], "left").select(*path, "cell_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    """Every cell of every node, with 0 where nothing was counted.
+
+    Only what was counted, and a row for each node, is shuffled: each such row then gives the empty cells up to the node's next one.
+    """
+    starts = paths.select(*path, F.lit(-1).alias("cell_id"), F.lit(0).cast("long").alias("n"))
+    rows = starts.unionByName(counts.select(*path, F.col("cell_id").cast("int").alias("cell_id"), F.col("n").cast("long").alias("n")))
+    following = F.lead("cell_id", 1, n_cells).over(Window.partitionBy(*path).orderBy("cell_id"))
+    rows = rows.withColumn("__next", following).withColumnRenamed("cell_id", "__from")
+    filled = rows.select(*path, "__from", "n", F.explode(F.sequence("__from", F.col("__next") - 1)).alias("cell_id")).where("cell_id >= 0")
+    return filled.select(*path, "cell_id", F.when(F.col("cell_id") == F.col("__from"), F.col("n")).otherwise(0).cast("long").alias("n"))
 
 
 def check_hierarchy(records: DataFrame, hierarchy: list[str]) -> None:

@@ -100,12 +100,15 @@ def once(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> None:
-    """The folder in spark.checkpoint.dir; one of this machine only where the session names none."""
+    """The folder in spark.checkpoint.dir; one of this machine only where the session names none and runs in one process."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not at and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tallytree-"))
+        sc.setCheckpointDir(at or "file://" + tempfile.mkdtemp(prefix="tallytree-"))
 
 
 def measure(levels: list[DataFrame], hierarchy: list[str], name: str, budget: list[float], seed: int = 0) -> list[DataFrame]:

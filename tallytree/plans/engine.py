@@ -76,15 +76,17 @@ class TopDown:
     def initialize(self) -> TopDown:
         t = time.time()
         self.records = read_records(self.spark, self.source, [*self.hierarchy, *self.queries], self.sep, self.nrows, self.format)
-        histogram.check_hierarchy(self.records, self.hierarchy)
+        # the one reading of the records: all that follows comes from these counts
+        self.counted = noise.once(histogram.compact(self.records, self.hierarchy, self.queries))
+        histogram.check_hierarchy(self.counted, self.hierarchy)
         if self.public_cells is not None:
-            cells = histogram.public_domain(self.public_cells, self.queries)
+            cells = histogram.public_domain(self.public_cells, self.queries, self.most_cells)
         else:
-            cells = histogram.domain(self.records, self.queries, self.most_cells, self.null_policy)
+            cells = histogram.domain(self.counted, self.queries, self.most_cells, self.null_policy)
         self.domain = noise.once(cells)
         self.n_cells = self.domain.count()
-        self.nodes = histogram.nodes(self.records, self.hierarchy)
-        self.levels = histogram.tree(self.records, self.hierarchy, self.queries, self.domain, self.n_cells, self.null_policy)
+        self.nodes = histogram.nodes(self.counted, self.hierarchy)
+        self.levels = histogram.tree(self.counted, self.hierarchy, self.queries, self.domain, self.n_cells, self.null_policy)
         self._timed("counts", t)
         return self
 
@@ -130,4 +132,5 @@ class TopDown:
         return sum(sizes), sum(sizes[:-1])
 
     def distances(self, level: int) -> DataFrame:
-        return synthesis.distances(self.estimates[level], self.hierarchy[:level]) if level else self.estimates[0].groupBy(F.lit(0)).agg(F.sum(F.abs(F.col("n") - F.col("x"))).alias("manhattan"))
+        """(*path, manhattan, euclidean, cosine) of each node of a level; the root is one row."""
+        return synthesis.distances(self.estimates[level], self.hierarchy[:level])

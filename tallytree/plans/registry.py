@@ -137,7 +137,7 @@ def distinct_values(spark, sf_dir):
 
 
 def _tree(spark, sf_dir, f: Frame):
-    records = f.records(spark, sf_dir)
+    records = noise.once(histogram.compact(f.records(spark, sf_dir), list(f.hierarchy), list(f.queries)))
     cells = noise.once(histogram.domain(records, list(f.queries)))
     return records, cells, histogram.tree(records, list(f.hierarchy), list(f.queries), cells, cells.count())
 

@@ -53,6 +53,58 @@ def test_totals_rules_and_consistency(spark, records, mechanism):
     assert totals == real
 
 
+def test_records_are_read_once(spark, records, tmp_path):
+    """Everything after the first aggregation comes from its counts, and from no table."""
+    records.write.parquet(str(tmp_path / "r.parquet"))
+    e = engine(spark, str(tmp_path / "r.parquet"), "none").initialize()
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
+    assert "parquet" in plan(e.records)
+    for df in (e.counted, e.domain, *e.nodes, *e.levels):
+        assert "parquet" not in plan(df)
+    assert {(r.g, r.h): r.real_total for r in e.nodes[2].collect()} == Counter((g, h) for g, h, *_ in ROWS)
+
+
+def test_every_cell_of_every_node(spark):
+    counts = spark.createDataFrame([("a", 0, 2), ("a", 3, 1), ("c", 4, 7)], "h string, cell_id int, n long")
+    paths = spark.createDataFrame([("a",), ("b",), ("c",)], "h string")
+    got = {(r.h, r.cell_id): r.n for r in histogram.dense(counts, paths, ["h"], 5).collect()}
+    assert got == {(h, c): {("a", 0): 2, ("a", 3): 1, ("c", 4): 7}.get((h, c), 0) for h in "abc" for c in range(5)}
+    assert histogram.dense(counts.limit(0), paths, ["h"], 0).count() == 0
+    assert [r.n for r in histogram.dense(counts.limit(0).drop("h"), paths.limit(1).drop("h"), [], 3).collect()] == [0, 0, 0]
+
+
+def test_level_order_nodes_and_distances(spark, records):
+    e = engine(spark, records, "none")
+    e.run()
+    assert [k for k, _ in e.iterate_by_levels()] == [0, 1, 2] and e.n_nodes() == (7, 3)
+    assert [tuple(r) for r in e.distances(0).collect()] == [(0.0, 0.0, 0.0)] and e.distances(1).columns == ["g", "manhattan", "euclidean", "cosine"]
+    total = lambda frame: frame[["g"]].head(1).assign(cells=len(frame), total=frame.n.sum())
+    assert {tuple(r) for r in histogram.apply_to_nodes(e.levels[1], ["g"], total, "g string, cells long, total long").collect()} == {("a", 4, 3), ("b", 4, 2)}
+
+
+def test_one_import_for_all():
+    import tallytree
+
+    assert tallytree.TopDown is TopDown and tallytree.Equal is Equal and tallytree.SumEqual is C.SumEqual
+    assert all(getattr(tallytree, name) for name in tallytree.__all__)
+    with pytest.raises(AttributeError):
+        tallytree.nothing  # noqa: B018
+
+
+def test_user_expression(spark, records):
+    from tallytree import LogicalExpression
+
+    class Even(LogicalExpression):
+        def to_column(self, schema=None):
+            return F.col("i") % 2 == 0
+
+    e = engine(spark, records, "none")
+    e.set_constraint_to_tree(C.SumEqual(Even(), 0))
+    e.run()
+    rows = e.estimates[2].join(e.domain, "cell_id").collect()
+    assert sum(r.x for r in rows if r.i == 2) == 0 and sum(r.x for r in rows) > 0
+
+
 def test_measured_once(spark, records):
     e = engine(spark, records, "discrete_laplace").initialize().measurement_phase()
     assert e.measured[2].collect() == e.measured[2].collect()
@@ -108,6 +160,8 @@ def test_validation(spark, records):
         engine(spark, records, "rumour")
     with pytest.raises(ValueError, match="cells"):
         engine(spark, records, most_cells=3).run()
+    with pytest.raises(ValueError, match="cells"):
+        engine(spark, records, most_cells=1, public_cells=records.select("i", "s")).initialize()
     with pytest.raises(ValueError, match="null"):
         histogram.check_hierarchy(records.withColumn("g", F.when(F.col("i") == 1, F.col("g"))), ["g"])
 
