@@ -9,8 +9,10 @@ folder before anything reads it. The seeded ones are for tests: they can be reco
 from __future__ import annotations
 
 import math
+import random
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,12 +67,12 @@ def seeded_gaussian(sigma2: float, seed: int, level: int, path: list[str]) -> Co
 
 
 SEEDED: dict[str, Callable[[float, int, int, list[str]], Column]] = {"none": lambda *_: F.lit(0).cast("long"), "seeded_laplace": seeded_laplace, "seeded_gaussian": seeded_gaussian}
-EXACT: dict[str, Callable[[float], int]] = {name: samplers.sampler(name) for name in ("discrete_laplace", "discrete_gaussian", "discrete_gaussian_zcdp")}
+EXACT: dict[str, Callable] = {name: samplers.batch_sampler(name) for name in ("discrete_laplace", "discrete_gaussian", "discrete_gaussian_zcdp")}
 
 
 def register_mechanism(name: str, draw: Callable[[float], int]) -> None:
     """A mechanism of the user's: one integer for a level's parameter."""
-    EXACT[name] = draw
+    EXACT[name] = lambda n, parameter, rng=None: np.array([draw(parameter) for _ in range(n)], dtype=np.int64)
 
 
 def mechanism(name: str) -> str:
@@ -79,16 +81,18 @@ def mechanism(name: str) -> str:
     return name
 
 
-def add_noise(level: DataFrame, name: str, parameter: float, path: list[str], depth: int, seed: int = 0) -> DataFrame:
-    """The level with ``noisy`` beside ``n``."""
+def add_noise(level: DataFrame, name: str, parameter: float, path: list[str], depth: int, seed: int = 0, rng: Callable[[], random.Random] | None = None) -> DataFrame:
+    """The level with ``noisy`` beside ``n``. ``rng`` makes a task's generator for the exact mechanisms, in place of the
+    operating system's randomness; it is called in each task, and generators of two tasks must differ."""
     if mechanism(name) in SEEDED:
         return level.withColumn("noisy", F.col("n") + SEEDED[name](parameter, seed, depth, path))
     draw = EXACT[name]
 
     @F.pandas_udf("long")
     def noise(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = rng() if rng else None
         for n in batches:
-            yield pd.Series([x + draw(parameter) for x in n.tolist()], dtype="int64")
+            yield n + draw(len(n), parameter, own)
 
     return level.withColumn("noisy", noise.asNondeterministic()(F.col("n")))
 
@@ -111,7 +115,7 @@ def shared_folder(spark: SparkSession) -> None:
         sc.setCheckpointDir(at or "file://" + tempfile.mkdtemp(prefix="tallytree-"))
 
 
-def measure(levels: list[DataFrame], hierarchy: list[str], name: str, budget: list[float], seed: int = 0) -> list[DataFrame]:
+def measure(levels: list[DataFrame], hierarchy: list[str], name: str, budget: list[float], seed: int = 0, rng: Callable[[], random.Random] | None = None) -> list[DataFrame]:
     """Each level with noise at its parameter, drawn once."""
     check_budget(budget, len(levels))
-    return [once(add_noise(df, name, b, hierarchy[:k], k, seed)) for k, (df, b) in enumerate(zip(levels, budget, strict=True))]
+    return [once(add_noise(df, name, b, hierarchy[:k], k, seed, rng)) for k, (df, b) in enumerate(zip(levels, budget, strict=True))]

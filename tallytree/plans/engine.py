@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import logging
+import random
 import secrets
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +23,8 @@ class TopDown:
     """Settings first, then ``run``.
 
     ``hierarchy`` lists the levels below the root, ``queries`` the attributes of a cell. ``public_cells``
-    (rows of query values) replaces the cells that would be taken from the records.
+    (rows of query values) replaces the cells that would be taken from the records. ``noise_rng`` makes each
+    task's generator for exact noise, in place of the operating system's randomness.
     """
 
     spark: SparkSession
@@ -39,6 +42,7 @@ class TopDown:
     public_cells: DataFrame | None = None
     mechanism: str | None = None
     privacy_parameters: list[float] = field(default_factory=list)
+    noise_rng: Callable[[], random.Random] | None = None
 
     def __post_init__(self) -> None:
         if not self.hierarchy or not self.queries:
@@ -95,7 +99,7 @@ class TopDown:
             raise ValueError("set a mechanism first; 'none' adds no noise")
         t = time.time()
         budget = self.privacy_parameters or ([1.0] * len(self.levels) if self.mechanism == "none" else [])
-        self.measured = noise.measure(self.levels, self.hierarchy, self.mechanism, budget, self.tie_seed)
+        self.measured = noise.measure(self.levels, self.hierarchy, self.mechanism, budget, self.tie_seed, self.noise_rng)
         self._timed("noise", t)
         return self
 

@@ -366,6 +366,32 @@ def noise_exact(spark, sf_dir):
     return synthesis.all_levels(parts)
 
 
+@query(
+    """WITH t AS (SELECT CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT r_name, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) CROSS JOIN (SELECT DISTINCT c_mktsegment FROM customer))
+SELECT mechanism, 400 * n AS n_draws, true AS mean_ok, true AS variance_ok FROM t, (VALUES ('discrete_laplace'), ('discrete_gaussian'), ('discrete_gaussian_zcdp')) m(mechanism)"""
+)
+def noise_exact_moments(spark, sf_dir):
+    """A check of properties: 400 draws for each leaf cell; mean and variance within eight standard errors of what the
+    distributions have (a row of false is expected once in 10^14 runs)."""
+    _, _, levels = _tree(spark, sf_dir, CUSTOMERS)
+    many = levels[2].select("cell_id", F.lit(0).cast("long").alias("n"), F.explode(F.sequence(F.lit(1), F.lit(400))))
+    out = []
+    for name, p in (("discrete_laplace", 1.0), ("discrete_gaussian", 4.0), ("discrete_gaussian_zcdp", 0.5)):
+        pmf = _pmf(name, p)
+        second, fourth = (sum(x**k * w for x, w in pmf) for k in (2, 4))
+        drawn = noise.once(noise.add_noise(many, name, p, [], 2)).agg(F.count("*").alias("n_draws"), F.avg("noisy").alias("m"), F.avg(F.col("noisy") * F.col("noisy")).alias("v"))
+        error = lambda spread: F.sqrt(F.lit(spread) / F.col("n_draws")) * 8
+        out.append(drawn.select(F.lit(name).alias("mechanism"), "n_draws", (F.abs("m") < error(second)).alias("mean_ok"), (F.abs(F.col("v") - second) < error(fourth - second**2)).alias("variance_ok")))
+    return synthesis.all_levels(out)
+
+
+def _pmf(name: str, p: float) -> list[tuple[int, float]]:
+    sigma2 = {"discrete_gaussian": p, "discrete_gaussian_zcdp": 1 / (2 * p)}.get(name)
+    weights = [(x, math.exp(-p * abs(x) if sigma2 is None else -x * x / (2 * sigma2))) for x in range(-80, 81)]
+    total = sum(w for _, w in weights)
+    return [(x, w / total) for x, w in weights]
+
+
 # --- estimates -------------------------------------------------------------------------------------------
 
 

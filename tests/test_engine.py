@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import pytest
@@ -203,3 +204,17 @@ def test_removal_of_the_llm_folders():
         subprocess.run(f"cp -r {ROOT}/tallytree {ROOT}/__spark_entry__.py {d} && rm -rf {d}/tallytree/llm", shell=True, check=True)
         code = "import __spark_entry__ as e; assert 'pipeline' not in e.queries() and not [n for n in e.queries() if n.startswith('op')] and len(e.oracle_sql()) > 40"
         subprocess.run([sys.executable, "-B", "-c", code], cwd=d, check=True, env={"PATH": "/usr/bin:/bin"})
+
+
+def test_own_generator_for_noise(spark, records):
+    def fixed():
+        return random.Random(3)
+
+    one = spark.range(0, 500, 1, 1).select(F.col("id").cast("int").alias("cell_id"), F.lit(0).cast("long").alias("n"))
+    for name in ("discrete_laplace", "discrete_gaussian", "discrete_gaussian_zcdp"):
+        a, b = ([r.noisy for r in noise.add_noise(one, name, 0.5, [], 0, rng=fixed).orderBy("cell_id").collect()] for _ in range(2))
+        c = [r.noisy for r in noise.add_noise(one, name, 0.5, [], 0).orderBy("cell_id").collect()]
+        assert a == b != c
+    e = engine(spark, records, "discrete_laplace", noise_rng=fixed)
+    e.run()
+    e.check_correctness()
