@@ -19,24 +19,21 @@ class SolverError(RuntimeError):
 
 
 SNAP = 1e-6
+#: A cost of one in whole numbers, and what stands for no way.
+UNIT, FAR = 1 << 44, 1 << 60
 
 
-def relax(c: np.ndarray, row: np.ndarray, var: np.ndarray, b: np.ndarray, steps: int = 200, tolerance: float = 1e-7) -> np.ndarray:
-    """c: targets; (row, var): the ones of A; b: right-hand sides."""
+def relax(c: np.ndarray, row: np.ndarray, var: np.ndarray, b: np.ndarray, steps: int = 200, tolerance: float = 1e-7, apart: int = 0) -> np.ndarray:
+    """c: targets; (row, var): the ones of A; b: right-hand sides. The first ``apart`` equations share no variable with each
+    other (a parent's cells): their block of the Newton matrix is diagonal, so only the others are solved for."""
     n, m = len(c), len(b)
     if m == 0:
         return np.maximum(c, 0.0)
     if (b < 0).any() or (np.bincount(row, minlength=m)[b > 0] == 0).any():
         raise InfeasibleError("a sum can't be reached")
     x0 = np.ones(n, bool)
-    for r in np.flatnonzero(b == 0):  # empties all its cells
-        x0[var[row == r]] = False
-    by_var = np.argsort(var, kind="stable")
-    counts = np.bincount(var, minlength=n)
-    width = int(counts.max(initial=0))
-    rows_of = np.full((n, max(width, 1)), -1)
-    place = np.arange(len(var)) - np.repeat(np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
-    rows_of[var[by_var], place] = row[by_var]
+    x0[var[(b == 0)[row]]] = False  # a sum of 0 empties all its cells
+    newton = _Newton(n, m, row, var, apart)
     lam, scale = np.zeros(m), 1 + float(np.abs(b).max())
 
     def point(l: np.ndarray) -> np.ndarray:
@@ -50,14 +47,7 @@ def relax(c: np.ndarray, row: np.ndarray, var: np.ndarray, b: np.ndarray, steps:
         g = np.bincount(row, x[var], m) - b
         if np.abs(g).max() <= tolerance * scale:
             return x
-        active = (x > 0) & x0
-        H = np.zeros((m, m))
-        own = rows_of[active]
-        for i in range(own.shape[1]):
-            for j in range(own.shape[1]):
-                ok = (own[:, i] >= 0) & (own[:, j] >= 0)
-                np.add.at(H, (own[ok, i], own[ok, j]), 1.0)
-        d = -np.linalg.solve(H + 1e-8 * np.eye(m), g) if np.abs(H).sum() else -g
+        d = newton.step(x > 0, g)
         t, before, slope = 1.0, value(lam, x), float(g @ d)
         while t > 1e-12:
             new = lam + t * d
@@ -74,6 +64,60 @@ def relax(c: np.ndarray, row: np.ndarray, var: np.ndarray, b: np.ndarray, steps:
     raise InfeasibleError(f"the equations can't hold together (off by {np.abs(g).max():.3g})")
 
 
+class _Newton:
+    """Steps -(A D A')^-1 g, D being 1 for active variables, by the Schur complement of the first ``apart`` equations.
+
+    Memory is that of the ones of A, of a square of the other equations, and of a block of at most BLOCK numbers.
+    """
+
+    BLOCK = 1 << 22
+    SHIFT = 1e-8
+
+    def __init__(self, n: int, m: int, row: np.ndarray, var: np.ndarray, apart: int) -> None:
+        self.apart, self.rest = apart, m - apart
+        first = row < apart
+        self.column = np.full(n, -1)
+        self.column[var[first]] = row[first]
+        at, self.sum, self.of = np.flatnonzero(~first), row[~first] - apart, var[~first]
+        order = np.argsort(self.column[self.of], kind="stable")
+        self.sum, self.of = self.sum[order], self.of[order]
+        self.col = self.column[self.of]  # ascending; -1: in no column
+        # pairs of the other equations that share a variable
+        by = np.argsort(self.of, kind="stable")
+        counts = np.bincount(self.of, minlength=n)
+        ends = np.cumsum(counts)
+        a, b = [np.arange(len(at))], [np.arange(len(at))]
+        for gap in range(1, int(counts.max(initial=0))):
+            here = np.flatnonzero(np.arange(len(by)) + gap < np.repeat(ends, counts))
+            a += [by[here], by[here + gap]]
+            b += [by[here + gap], by[here]]
+        self.a, self.b = np.concatenate(a), np.concatenate(b)
+
+    def step(self, active: np.ndarray, g: np.ndarray) -> np.ndarray:
+        k, r = self.apart, self.rest
+        inside = self.column[active]
+        diagonal = np.bincount(inside[inside >= 0], minlength=k)[:k] + self.SHIFT
+        top, low = -g[:k], -g[k:]
+        if not r:
+            return top / diagonal
+        on = active[self.of]
+        both = on[self.a]
+        S = np.bincount(self.sum[self.a[both]] * r + self.sum[self.b[both]], minlength=r * r).reshape(r, r).astype(float)
+        S[np.diag_indices(r)] += self.SHIFT * max(1.0, float(np.trace(S)) / r)
+        cross = on & (self.col >= 0)
+        col, sum_ = self.col[cross], self.sum[cross]
+        width = max(1, self.BLOCK // r)
+        for lo in range(0, k, width):
+            i, j = np.searchsorted(col, [lo, lo + width])
+            if i == j:
+                continue
+            B = np.zeros((min(width, k - lo), r))
+            np.add.at(B, (col[i:j] - lo, sum_[i:j]), 1.0)
+            S -= B.T @ (B / diagonal[lo : lo + width, None])
+        d = np.linalg.solve(S, low - np.bincount(sum_, (top / diagonal)[col], r)) if len(col) else np.linalg.solve(S, low)
+        return np.concatenate([(top - (np.bincount(col, d[sum_], k) if k else 0)) / diagonal, d])
+
+
 def snapped(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whole parts and remainders, near-integers being taken as integers."""
     near = np.rint(x)
@@ -103,9 +147,6 @@ def round_margins(whole: np.ndarray, part: np.ndarray, row_of: np.ndarray, colum
     need = (column_sum - whole.sum(axis=0)).astype(np.int64)
     if (need < 0).any() or (need > open_.sum(axis=0)).any():
         raise InfeasibleError("a cell's sum can't be reached by rounding")
-    order = np.argsort(gain, axis=0, kind="stable")
-    for j in range(n):
-        y[order[: need[j], j], j] = True
     # one node for each (child, row) and one for each child's cells without a row
     names: dict[tuple[int, int], int] = {}
     node = np.empty((K, n), np.int64)
@@ -118,50 +159,57 @@ def round_margins(whole: np.ndarray, part: np.ndarray, row_of: np.ndarray, colum
         if g >= 0:
             target[i] = row_sum[g]
     bound = ~np.isnan(target)
-    cost, have, valid = np.full((R, n), np.inf), np.zeros((R, n), bool), np.zeros((R, n), bool)
-    cols = np.broadcast_to(np.arange(n), (K, n))
-    cost[node, cols], have[node, cols], valid[node, cols] = gain, y, open_
     fixed = np.bincount(node.ravel(), whole.ravel(), R)
+    # costs in whole numbers: with fractions, errors of many near-ties would make cycles that seem to gain
+    costs = np.rint(np.where(open_, gain, 0) * UNIT).astype(np.int64)
+    ranks = np.argsort(np.where(open_, costs, FAR), axis=0, kind="stable")
+    np.put_along_axis(y, ranks, np.arange(K)[:, None] < need, axis=0)
+    cost, have, valid = np.zeros((R, n), np.int64), np.zeros((R, n), bool), np.zeros((R, n), bool)
+    cols = np.broadcast_to(np.arange(n), (K, n))
+    cost[node, cols], have[node, cols], valid[node, cols] = costs, y, open_
+    give, take = np.where(have & valid, -cost, FAR), np.where(~have & valid, cost, FAR)
+    between, via, changed = np.full((R, R), FAR), np.zeros((R, R), np.int64), range(R)
     while True:
         surplus = np.where(bound, fixed + have.sum(axis=1) - target, 0)
         if not surplus.any():
             break
-        give = np.where(have & valid, -cost, np.inf)
-        take = np.where(~have & valid, cost, np.inf)
-        edge = np.full((R, R), np.inf)
-        via = np.zeros((R, R), np.int64)
-        for a in range(R):
-            total = give[a][None, :] + take
-            via[a] = total.argmin(axis=1)
-            edge[a] = total[np.arange(R), via[a]]
-        np.fill_diagonal(edge, np.inf)
+        for a in changed:  # only what the last path went through differs
+            for out, total in (((a, slice(None)), give[a] + take), ((slice(None), a), give + take[a])):
+                via[out] = total.argmin(axis=1)
+                least = total[np.arange(R), via[out]]
+                between[out] = np.where(least < FAR // 2, least, FAR)
+        edge = between.copy()
+        np.fill_diagonal(edge, FAR)
         free = np.flatnonzero(~bound)
-        edge[np.ix_(free, free)] = np.minimum(edge[np.ix_(free, free)], 0.0)
+        edge[np.ix_(free, free)] = np.minimum(edge[np.ix_(free, free)], 0)
         over = surplus > 0
         start = over if over.any() else ~bound
         goal = surplus < 0 if (surplus < 0).any() else ~bound
         if not start.any() or not goal.any():
             raise InfeasibleError("the sums can't be reached by rounding")
-        dist, back = np.where(start, 0.0, np.inf), np.full(R, -1)
+        dist, back = np.where(start, 0, FAR), np.full(R, -1)
         for _ in range(R):
-            through = dist[:, None] + edge
+            through = np.where((dist < FAR)[:, None] & (edge < FAR), dist[:, None] + edge, FAR)
             best = through.argmin(axis=0)
-            better = through[best, np.arange(R)] < dist - 1e-12
+            better = through[best, np.arange(R)] < dist
             if not better.any():
                 break
             dist[better], back[better] = through[best, np.arange(R)][better], best[better]
-        end = int(np.where(goal, dist, np.inf).argmin())
-        if not np.isfinite(dist[end]) or back[end] < 0:
+        end = int(np.where(goal, dist, FAR).argmin())
+        if dist[end] >= FAR or back[end] < 0:
             raise InfeasibleError("the sums can't be reached by rounding")
-        seen = 0
+        seen, changed = 0, {end}
         while back[end] >= 0:
             a, seen = int(back[end]), seen + 1
-            if np.isfinite(give[a, via[a, end]] + take[end, via[a, end]]) and not (a in free and end in free and edge[a, end] == 0.0):
+            changed.add(a)
+            if between[a, end] < FAR and not (a in free and end in free and edge[a, end] == 0):
                 j = via[a, end]
                 have[a, j], have[end, j] = False, True
             end = a
             if seen > R:
                 raise SolverError("rounding found a cycle")
+        for a in changed:
+            give[a], take[a] = np.where(have[a] & valid[a], -cost[a], FAR), np.where(~have[a] & valid[a], cost[a], FAR)
     return whole + have[node, cols]
 
 
@@ -255,7 +303,7 @@ def solve(c: np.ndarray, column_sum: np.ndarray | None, sums: list[tuple[int, np
     row, var = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (row, var))
     b = np.concatenate(b).astype(float)
     x = np.zeros((K, n))
-    x[open_] = relax(c[open_].astype(float), row, var, b)
+    x[open_] = relax(c[open_].astype(float), row, var, b, apart=base)
     whole, part = snapped(x)
     if disjoint:
         return x, round_margins(whole, part, row_of, column_sum, b[base:], tie, open_)

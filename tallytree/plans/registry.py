@@ -475,6 +475,22 @@ def estimate_children_with_totals(spark, sf_dir):
     return _margins(engine, _RULE)
 
 
+@query("SELECT * FROM (VALUES ('consistency_errors', 0::BIGINT), ('negatives', 0::BIGINT), ('sum_errors', 0::BIGINT)) t(what, n_errors)")
+def estimate_overlapping(spark, sf_dir):
+    """A check of properties: two sums at the root that share cells, equal to what the records say, with noise."""
+    engine = _engine(spark, sf_dir, LINEITEMS, _DEEP)
+    sums = [X.LessThan("l_returnflag", "R"), X.GreaterThan("l_returnflag", "A")]
+    for e in sums:
+        counted = F.count(F.when(e.to_column(LINEITEMS.records(spark, sf_dir).schema), 1))
+        engine.set_constraint_to_level(0, constraints.ContextualAggregateConstraint(e, counted))
+    engine.initialize().measurement_phase().estimation_phase()
+    out = _margins(engine, None).where("what <> 'total_errors'")
+    root = engine.estimates[0].join(F.broadcast(engine.domain), "cell_id")
+    held = [F.sum(F.when(e.to_column(engine.domain.schema), F.col("x") - F.col("n"))) != 0 for e in sums]
+    errors = root.agg(sum((h.cast("long") for h in held[1:]), held[0].cast("long")).alias("n_errors"))
+    return out.unionByName(errors.select(F.lit("sum_errors").alias("what"), "n_errors"))
+
+
 # --- reconstruction and audit ----------------------------------------------------------------------------
 
 

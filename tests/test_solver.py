@@ -33,6 +33,36 @@ def test_margins_and_optimality(full):
         assert ((part - (y - whole)) ** 2).sum() == pytest.approx(best, abs=1e-6)
 
 
+def test_many_near_ties_are_rounded():
+    """Whole targets make remainders whose exchanges all but cancel out; these sizes are too large to enumerate."""
+    rng = np.random.default_rng(1)
+    for K, n, full in ((10, 100, True), (25, 300, True), (12, 200, False)):
+        c, parent, sums, tie = instance(rng, K, n, full)
+        x, y = solver.solve(c, parent, sums, tie, np.ones((K, n), bool))
+        assert (y.sum(axis=0) == parent).all() and all(y[k, cells].sum() == t for k, cells, t in sums)
+        assert (y >= 0).all() and (abs(y - x) <= 1 + 1e-6).all()
+
+
+def test_newton_steps_by_elimination():
+    """Eliminating a parent's cells gives the point that a dense matrix gives, for overlapping sums too."""
+    rng = np.random.default_rng(2)
+    for _ in range(40):
+        K, n = int(rng.integers(2, 6)), int(rng.integers(2, 9))
+        row, var = [np.tile(np.arange(n), K)], [np.arange(K * n)]
+        truth = rng.poisson(2, (K, n))
+        b = list(truth.sum(axis=0))
+        for k in range(K):
+            for _ in range(2):
+                cells = np.flatnonzero(rng.random(n) < 0.6)
+                row.append(np.full(len(cells), len(b)))
+                var.append(k * n + cells)
+                b.append(truth[k, cells].sum())
+        c, row, var, b = rng.normal(2, 3, K * n), np.concatenate(row), np.concatenate(var), np.array(b, float)
+        a = solver.relax(c, row, var, b, apart=n)
+        z = solver.relax(c, row, var, b)
+        assert np.allclose(a, z, atol=1e-5) and np.allclose(np.bincount(row, a[var], len(b)), b, atol=1e-4)
+
+
 def test_relaxation_is_nearest():
     """No feasible direction between two cells of a group comes nearer."""
     rng = np.random.default_rng(5)
