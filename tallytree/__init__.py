@@ -8,7 +8,7 @@ from importlib import import_module
 _WHERE = {
     "TopDown": "plans.engine",
     **dict.fromkeys(("And", "AtomicExpression", "BinaryExpression", "CompoundExpression", "Equal", "Equivalent", "FalseExpression", "GreaterThan", "GreaterThanOrEqual", "Implies", "IsNull", "LessThan", "LessThanOrEqual", "LogicalExpression", "NaryExpression", "Not", "NotEqual", "Or", "TrueExpression", "UnaryExpression"), "functions.expressions"),
-    **dict.fromkeys(("AggregateConstraint", "Constraint", "ContextualAggregateConstraint", "InfeasibleError", "StructuralZero", "SumEqual", "SumEqualRealTotal"), "operators.constraints"),
+    **dict.fromkeys(("AggregateConstraint", "AtNode", "Constraint", "ContextualAggregateConstraint", "InfeasibleError", "StructuralZero", "SumEqual", "SumEqualRealTotal", "WeightedSumEqual"), "operators.constraints"),
     **dict.fromkeys(("geometric_budget", "uniform_budget", "register_mechanism"), "operators.noise"),
     **dict.fromkeys(("read_records", "write_records"), "sources"),
 }

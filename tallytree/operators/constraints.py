@@ -27,6 +27,14 @@ class Constraint(ABC):
         """The cell_ids that the expression holds for."""
         return domain.where(self.expression.to_column(domain.schema)).select("cell_id")
 
+    def weights(self) -> Column:
+        """What a cell counts for, as a whole number; a subclass may take it from the cell's attributes."""
+        return F.lit(1)
+
+    def weighted_cells(self, domain: DataFrame) -> DataFrame:
+        """(cell_id, weight) of the cells that the expression holds for."""
+        return domain.select("cell_id", self.weights().alias("weight")).join(F.broadcast(self.cells(domain)), "cell_id")
+
     @abstractmethod
     def right_hand_sides(self, records: DataFrame, nodes: DataFrame, path: list[str]) -> DataFrame:
         """(*path, rhs) for all nodes of a level."""
@@ -62,6 +70,22 @@ class SumEqual(AggregateConstraint):
         return nodes.select(*path, F.lit(int(self.value)).cast("long").alias("rhs"))
 
 
+@dataclass(frozen=True)
+class WeightedSumEqual(AggregateConstraint):
+    """The cells, each times ``weight`` (a whole number from its attributes, of any sign), add up to ``value`` in every node."""
+
+    weight: Column
+    value: int
+
+    def weights(self) -> Column:
+        return self.weight
+
+    def right_hand_sides(self, records, nodes, path):
+        if self.value != int(self.value):
+            raise InfeasibleError(f"{self!r}: whole numbers never add up to {self.value}")
+        return nodes.select(*path, F.lit(int(self.value)).cast("long").alias("rhs"))
+
+
 @dataclass(frozen=True)
 class ContextualAggregateConstraint(AggregateConstraint):
     """The cells add up to an aggregate of the node's records: a Spark aggregate column, evaluated for all nodes at
@@ -94,6 +118,37 @@ class SumEqualRealTotal(AggregateConstraint):
         return nodes.select(*path, F.col("real_total").alias("rhs"))
 
 
+@dataclass(frozen=True)
+class AtNode(Constraint):
+    """A constraint that holds in the node at ``path`` (its hierarchy values from below the root on) and in no other.
+
+    Its parent is estimated without it, so what the parent was given may leave no room for it: ``InfeasibleError``.
+    """
+
+    held: Constraint
+    path: tuple
+
+    @property
+    def expression(self) -> LogicalExpression:
+        return self.held.expression
+
+    def cells(self, domain):
+        return self.held.cells(domain)
+
+    def weights(self):
+        return self.held.weights()
+
+    def right_hand_sides(self, records, nodes, path):
+        if len(path) != len(self.path):
+            raise ValueError(f"{self!r} has no right-hand side at level {len(path)}")
+        here = [F.col(p) == F.lit(v) for p, v in zip(path, self.path, strict=True)]
+        for condition in here:
+            records, nodes = records.where(condition), nodes.where(condition)
+        if not nodes.take(1):
+            raise ValueError(f"{self!r}: there is no such node")
+        return self.held.right_hand_sides(records, nodes, path)
+
+
 def as_constraint(c: Constraint | LogicalExpression) -> Constraint:
     if isinstance(c, Constraint):
         return c
@@ -120,22 +175,31 @@ class Registry:
             raise ValueError(f"there is no level {level}")
         self.held.append((as_constraint(c), self.depth if level is None else min(level + self.offset, self.depth)))
 
+    def add_at(self, path: tuple, c: Constraint | LogicalExpression) -> None:
+        if len(path) > self.depth:
+            raise ValueError(f"there is no level {len(path)}")
+        self.held.append((AtNode(as_constraint(c), tuple(path)), len(path)))
+
     def at(self, level: int) -> list[Constraint]:
-        return [c for c, last in self.held if level <= last]
+        return [c for c, last in self.held if (level == last if isinstance(c, AtNode) else level <= last)]
 
 
 @dataclass
 class Compiled:
-    """A level's constraints over a domain: cells that must be empty, and the sums' (name, cells, right-hand sides)."""
+    """A level's constraints over a domain: cells that must be empty, and the sums' (name, cells, right-hand sides, weights).
+
+    Weights are None where all are 1. ``under`` has the parents that have children with sums, None standing for all.
+    """
 
     zeros: set[int]
-    sums: list[tuple[str, list[int], DataFrame]]
+    sums: list[tuple[str, list[int], DataFrame, list[int] | None]]
+    under: set[tuple] | None = None
 
 
 def compile_level(held: list[Constraint], domain: DataFrame, records: DataFrame, nodes: DataFrame, path: list[str]) -> Compiled:
     """Cells are gathered on the driver: there are no more of them than the domain's limit. Sums over no cell are
     folded: right-hand side 0 holds, another can't."""
-    out = Compiled(set(), [])
+    out = Compiled(set(), [], set())
     for c in held:
         if isinstance(c, StructuralZero):
             out.zeros |= {r.cell_id for r in c.cells(domain).collect()}
@@ -143,23 +207,46 @@ def compile_level(held: list[Constraint], domain: DataFrame, records: DataFrame,
         if isinstance(c, StructuralZero):
             continue
         sides = c.right_hand_sides(records, nodes, path)
-        cells = sorted({r.cell_id for r in c.cells(domain).collect()} - out.zeros)
+        weight = {r.cell_id: r.weight for r in c.weighted_cells(domain).collect()}
+        if any(w is None or w != int(w) for w in weight.values()):
+            raise ValueError(f"{c!r}: weights must be whole numbers")
+        cells = sorted(x for x, w in weight.items() if w and x not in out.zeros)
         if not cells:
             if bad := sides.where("rhs <> 0").take(1):
                 raise InfeasibleError(f"{c!r} can't hold at {_named(path, bad[0])}: no cell is left, the sum should be {bad[0].rhs}")
             continue
         if isinstance(c, SumEqual) and c.value == 0:
             out.zeros |= set(cells)
-            out.sums = [(name, [x for x in own if x not in out.zeros], s) for name, own, s in out.sums]
             continue
-        out.sums.append((repr(c), cells, sides))
-    for name, cells, sides in out.sums:
-        if not cells and (bad := sides.where("rhs <> 0").take(1)):
+        out.sums.append((repr(c), cells, sides, [int(weight[x]) for x in cells]))
+        if not isinstance(c, AtNode):
+            out.under = None
+        elif out.under is not None:
+            out.under.add(c.path[:-1])
+    sums, out.sums = out.sums, []
+    for name, cells, sides, weights in sums:  # cells may have been emptied since
+        kept = [(x, w) for x, w in zip(cells, weights, strict=True) if x not in out.zeros]
+        if kept:
+            out.sums.append((name, [x for x, _ in kept], sides, None if all(w == 1 for _, w in kept) else [w for _, w in kept]))
+        elif bad := sides.where("rhs <> 0").take(1):
             raise InfeasibleError(f"{name} can't hold at {_named(path, bad[0])}: no cell is left")
-    out.sums = [x for x in out.sums if x[1]]
     return out
 
 
+def equations(held: list[Constraint], domain: DataFrame, records: DataFrame, nodes: DataFrame, path: list[str]) -> DataFrame:
+    """(*path, constraint, cell_id, weight, rhs): a level's equations as rows, to look into what can't hold together.
+
+    cell_id is null where no cell is concerned. A rule's cells add up to 0.
+    """
+    out = None
+    for c in held:
+        cells = c.weighted_cells(domain).select("cell_id", F.col("weight").cast("long").alias("weight"), F.lit(repr(c)).alias("constraint"))
+        sides = c.right_hand_sides(records, nodes, path).withColumn("constraint", F.lit(repr(c)))
+        one = sides.join(F.broadcast(cells), "constraint", "left").select(*path, "constraint", "cell_id", "weight", "rhs")
+        out = one if out is None else out.unionByName(one)
+    return nodes.select(*path, F.lit("").alias("constraint"), F.lit(0).alias("cell_id"), *(F.lit(0).cast("long").alias(x) for x in ("weight", "rhs"))).limit(0) if out is None else out
+
+
 def _named(path: list[str], row) -> str:
     return "/".join(str(row[p]) for p in path) or "the root"
 

@@ -69,13 +69,13 @@ def estimate_root(level: DataFrame, held: Compiled, seed: int = 0) -> DataFrame:
     if not held.sums:
         return _with_zeros(open_.withColumns({"x": F.greatest("noisy", F.lit(0)), "relaxed": F.greatest("noisy", F.lit(0)).cast("double")}), level, held.zeros)
     n_open = open_.count()
-    if len(held.sums) == 1 and len(held.sums[0][1]) == n_open:
+    if len(held.sums) == 1 and len(held.sums[0][1]) == n_open and held.sums[0][3] is None:
         total = held.sums[0][2].first().rhs
         rows = open_.withColumns({"__g": F.lit(0), "__p": F.lit(total).cast("long"), "tb": tie_breaker(seed, [])})
         return _with_zeros(project(rows, ["__g"], "noisy", "__p"), level, held.zeros)
     rows = open_.withColumn("tb", tie_breaker(seed, [])).select("cell_id", "n", "noisy", "tb").orderBy("cell_id").toPandas()
     at = {c: k for k, c in enumerate(rows.cell_id)}
-    sums = [(0, np.array([at[c] for c in cells]), int(sides.first().rhs)) for _, cells, sides in held.sums]
+    sums = [(0, np.array([at[c] for c in cells]), int(sides.first().rhs), weights) for _, cells, sides, weights in held.sums]
     tie = rows.tb.rank().to_numpy()[None, :]
     try:
         relaxed, x = solver.solve(rows.noisy.to_numpy()[None, :], None, sums, tie / max(1, len(rows)), np.ones((1, len(rows)), bool))
@@ -96,12 +96,18 @@ def estimate_children(level: DataFrame, parents: DataFrame, path: list[str], hel
             raise InfeasibleError(f"under {_named(up, blocked[0])}: cell {blocked[0].cell_id} must be empty, but its parent has {blocked[0]['__p']}")
     if not held.sums:
         return _with_zeros(project(rows, [*up, "cell_id"], "noisy", "__p"), level, held.zeros)
-    totals = None
-    for k, (_, _, sides) in enumerate(held.sums):
-        one = sides.select(*path, F.col("rhs").alias(f"__s{k}"))
-        totals = one if totals is None else totals.join(one, path)
-    rows = rows.join(totals, path)
-    cells_of, names = [cells for _, cells, _ in held.sums], [name for name, *_ in held.sums]
+    others = None
+    if held.under is not None:  # sums of single nodes: only their parents are solved in Python
+        mine = F.lit(False)
+        for parent in sorted(held.under, key=repr):
+            here = F.lit(True)
+            for u, v in zip(up, parent, strict=True):
+                here &= F.col(u) == F.lit(v)
+            mine |= here
+        others, rows = project(rows.where(~mine), [*up, "cell_id"], "noisy", "__p"), rows.where(mine)
+    for k, (_, _, sides, _) in enumerate(held.sums):
+        rows = rows.join(sides.select(*path, F.col("rhs").alias(f"__s{k}")), path, "left")
+    cells_of, weights_of, names = [cells for _, cells, _, _ in held.sums], [w for *_, w in held.sums], [name for name, *_ in held.sums]
     child, seed_ = path[-1], seed
 
     def one_parent(frame: pd.DataFrame) -> pd.DataFrame:
@@ -112,7 +118,8 @@ def estimate_children(level: DataFrame, parents: DataFrame, path: list[str], hel
         c, tie = frame.noisy.to_numpy().reshape(shape), frame.tb.rank().to_numpy().reshape(shape) / len(frame)
         parent = frame["__p"].to_numpy().reshape(shape)[0]
         firsts = frame.iloc[:: len(cells)]
-        sums = [(k, np.array([at[x] for x in own if x in at], int), int(firsts[f"__s{s}"].iloc[k])) for s, own in enumerate(cells_of) for k in range(len(children))]
+        held_by = [(s, k) for s in range(len(cells_of)) for k in np.flatnonzero(firsts[f"__s{s}"].notna().to_numpy()).tolist()]
+        sums = [(k, np.array([at[x] for x in cells_of[s]], int), int(firsts[f"__s{s}"].iloc[k]), weights_of[s]) for s, k in held_by]
         try:
             relaxed, x = solver.solve(c, parent, sums, tie, np.ones(shape, bool))
         except InfeasibleError as e:
@@ -123,12 +130,14 @@ def estimate_children(level: DataFrame, parents: DataFrame, path: list[str], hel
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join([*(f"`{p}` {kinds[p]}" for p in path), "cell_id int, n long, noisy long, relaxed double, x long"])
     grouped = rows.groupBy(*up)
-    return _with_zeros(grouped.applyInPandas(one_parent, schema), level, held.zeros)
+    solved = grouped.applyInPandas(one_parent, schema)
+    return _with_zeros(solved if others is None else solved.unionByName(others.select(*solved.columns)), level, held.zeros)
 
 
-def estimate(levels: list[DataFrame], hierarchy: list[str], held: list[Compiled], seed: int = 0) -> list[DataFrame]:
-    """All levels, root first; each is written before the next one reads it."""
-    out = [once(estimate_root(levels[0], held[0], seed))]
+def estimate(levels: list[DataFrame], hierarchy: list[str], held: list[Compiled], seed: int = 0, out: list[DataFrame] | None = None) -> list[DataFrame]:
+    """All levels, root first; each is written before the next one reads it. ``out`` gets them as they are done."""
+    out = [] if out is None else out
+    out.append(once(estimate_root(levels[0], held[0], seed)))
     for k in range(1, len(levels)):
         out.append(once(estimate_children(levels[k], out[-1], hierarchy[:k], held[k], seed)))
     return out

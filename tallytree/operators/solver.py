@@ -23,28 +23,31 @@ SNAP = 1e-6
 UNIT, FAR = 1 << 44, 1 << 60
 
 
-def relax(c: np.ndarray, row: np.ndarray, var: np.ndarray, b: np.ndarray, steps: int = 200, tolerance: float = 1e-7, apart: int = 0) -> np.ndarray:
-    """c: targets; (row, var): the ones of A; b: right-hand sides. The first ``apart`` equations share no variable with each
-    other (a parent's cells): their block of the Newton matrix is diagonal, so only the others are solved for."""
+def relax(c: np.ndarray, row: np.ndarray, var: np.ndarray, b: np.ndarray, steps: int = 200, tolerance: float = 1e-7, apart: int = 0, weight: np.ndarray | None = None) -> np.ndarray:
+    """c: targets; (row, var, weight): the entries of A, ones without weights; b: right-hand sides. The first ``apart`` equations
+    have weights of one and share no variable with each other (a parent's cells): their block of the Newton matrix is diagonal,
+    so only the others are solved for."""
     n, m = len(c), len(b)
     if m == 0:
         return np.maximum(c, 0.0)
-    if (b < 0).any() or (np.bincount(row, minlength=m)[b > 0] == 0).any():
+    w = np.ones(len(row)) if weight is None else weight.astype(float)
+    up, down = (np.bincount(row, s * w > 0, m) > 0 for s in (1, -1))
+    if (~up & (b > 0)).any() or (~down & (b < 0)).any():
         raise InfeasibleError("a sum can't be reached")
     x0 = np.ones(n, bool)
-    x0[var[(b == 0)[row]]] = False  # a sum of 0 empties all its cells
-    newton = _Newton(n, m, row, var, apart)
+    x0[var[((b == 0) & ~(up & down))[row]]] = False  # a sum of 0 empties all its cells, if their weights have one sign
+    newton = _Newton(n, m, row, var, apart, w)
     lam, scale = np.zeros(m), 1 + float(np.abs(b).max())
 
     def point(l: np.ndarray) -> np.ndarray:
-        return np.where(x0, np.maximum(c + np.bincount(var, l[row], n), 0.0), 0.0)
+        return np.where(x0, np.maximum(c + np.bincount(var, w * l[row], n), 0.0), 0.0)
 
     def value(l: np.ndarray, x: np.ndarray) -> float:
         return 0.5 * float(x @ x) - float(b @ l)
 
     x = point(lam)
     for _ in range(steps):
-        g = np.bincount(row, x[var], m) - b
+        g = np.bincount(row, w * x[var], m) - b
         if np.abs(g).max() <= tolerance * scale:
             return x
         d = newton.step(x > 0, g)
@@ -58,7 +61,7 @@ def relax(c: np.ndarray, row: np.ndarray, var: np.ndarray, b: np.ndarray, steps:
         lam, x = new, y
         if np.abs(lam).max() > 1e12:
             break
-    g = np.bincount(row, x[var], m) - b
+    g = np.bincount(row, w * x[var], m) - b
     if np.abs(g).max() <= 1e-4 * scale:
         return x
     raise InfeasibleError(f"the equations can't hold together (off by {np.abs(g).max():.3g})")
@@ -73,14 +76,14 @@ class _Newton:
     BLOCK = 1 << 22
     SHIFT = 1e-8
 
-    def __init__(self, n: int, m: int, row: np.ndarray, var: np.ndarray, apart: int) -> None:
+    def __init__(self, n: int, m: int, row: np.ndarray, var: np.ndarray, apart: int, weight: np.ndarray) -> None:
         self.apart, self.rest = apart, m - apart
         first = row < apart
         self.column = np.full(n, -1)
         self.column[var[first]] = row[first]
-        at, self.sum, self.of = np.flatnonzero(~first), row[~first] - apart, var[~first]
+        at, self.sum, self.of, self.w = np.flatnonzero(~first), row[~first] - apart, var[~first], weight[~first]
         order = np.argsort(self.column[self.of], kind="stable")
-        self.sum, self.of = self.sum[order], self.of[order]
+        self.sum, self.of, self.w = self.sum[order], self.of[order], self.w[order]
         self.col = self.column[self.of]  # ascending; -1: in no column
         # pairs of the other equations that share a variable
         by = np.argsort(self.of, kind="stable")
@@ -102,20 +105,21 @@ class _Newton:
             return top / diagonal
         on = active[self.of]
         both = on[self.a]
-        S = np.bincount(self.sum[self.a[both]] * r + self.sum[self.b[both]], minlength=r * r).reshape(r, r).astype(float)
+        a, b = self.a[both], self.b[both]
+        S = np.bincount(self.sum[a] * r + self.sum[b], self.w[a] * self.w[b], r * r).reshape(r, r).astype(float)
         S[np.diag_indices(r)] += self.SHIFT * max(1.0, float(np.trace(S)) / r)
         cross = on & (self.col >= 0)
-        col, sum_ = self.col[cross], self.sum[cross]
+        col, sum_, w = self.col[cross], self.sum[cross], self.w[cross]
         width = max(1, self.BLOCK // r)
         for lo in range(0, k, width):
             i, j = np.searchsorted(col, [lo, lo + width])
             if i == j:
                 continue
             B = np.zeros((min(width, k - lo), r))
-            np.add.at(B, (col[i:j] - lo, sum_[i:j]), 1.0)
+            np.add.at(B, (col[i:j] - lo, sum_[i:j]), w[i:j])
             S -= B.T @ (B / diagonal[lo : lo + width, None])
-        d = np.linalg.solve(S, low - np.bincount(sum_, (top / diagonal)[col], r)) if len(col) else np.linalg.solve(S, low)
-        return np.concatenate([(top - (np.bincount(col, d[sum_], k) if k else 0)) / diagonal, d])
+        d = np.linalg.solve(S, low - np.bincount(sum_, w * (top / diagonal)[col], r)) if len(col) else np.linalg.solve(S, low)
+        return np.concatenate([(top - (np.bincount(col, w * d[sum_], k) if k else 0)) / diagonal, d])
 
 
 def snapped(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,25 +217,29 @@ def round_margins(whole: np.ndarray, part: np.ndarray, row_of: np.ndarray, colum
     return whole + have[node, cols]
 
 
-def round_general(whole: np.ndarray, part: np.ndarray, row: np.ndarray, var: np.ndarray, b: np.ndarray, tie: np.ndarray, effort: int = 200_000) -> np.ndarray:
-    """Any 0/1 equations, by branch and bound over all cells that are in a sum; ``SolverError`` if the effort ends before the optimum is proven.
+def round_general(whole: np.ndarray, part: np.ndarray, row: np.ndarray, var: np.ndarray, b: np.ndarray, tie: np.ndarray, effort: int = 200_000, weight: np.ndarray | None = None) -> np.ndarray:
+    """Any equations in whole numbers (ones without weights), by branch and bound over all cells that are in a sum; ``SolverError`` if the effort ends before the optimum is proven.
 
     The bound is a Lagrangian one: any prices of the rows give a valid one, and good ones are sought by subgradient steps.
     """
     n, m = len(whole), len(b)
-    need = (b - np.bincount(row, whole[var], m)).round().astype(np.int64)
+    w = np.ones(len(row), np.int64) if weight is None else weight.astype(np.int64)
+    need = (b - np.bincount(row, w * whole[var], m)).round().astype(np.int64)
     cost = (1 - 2 * part) + 1e-9 * tie
     rows_of: list[list[int]] = [[] for _ in range(n)]
-    for r, v in zip(row.tolist(), var.tolist(), strict=True):
+    weights_of: list[list[int]] = [[] for _ in range(n)]
+    for r, v, x in zip(row.tolist(), var.tolist(), w.tolist(), strict=True):
         rows_of[v].append(r)
-    price = _prices(cost, need, row, var)
-    reduced = cost - np.bincount(var, price[row], n)
+        weights_of[v].append(x)
+    price = _prices(cost, need, row, var, w)
+    reduced = cost - np.bincount(var, w * price[row], n)
     todo = sorted((v for v in range(n) if rows_of[v]), key=lambda v: (min(rows_of[v]), cost[v]))
-    left = np.zeros((len(todo) + 1, m), np.int64)  # how many later cells each row still has
+    left, least = np.zeros((len(todo) + 1, m), np.int64), np.zeros((len(todo) + 1, m), np.int64)  # the most and least that later cells give each row
     bound = np.zeros(len(todo) + 1)  # the least that later cells add, at their reduced costs
     for k in range(len(todo) - 1, -1, -1):
-        left[k] = left[k + 1]
-        left[k][rows_of[todo[k]]] += 1
+        left[k], least[k] = left[k + 1], least[k + 1]
+        left[k][rows_of[todo[k]]] += np.maximum(weights_of[todo[k]], 0)
+        least[k][rows_of[todo[k]]] += np.minimum(weights_of[todo[k]], 0)
         bound[k] = bound[k + 1] + min(0.0, reduced[todo[k]])
     best, chosen, spent = np.inf, None, 0
     stack = [(0, 0.0, need, ())]
@@ -240,14 +248,14 @@ def round_general(whole: np.ndarray, part: np.ndarray, row: np.ndarray, var: np.
         spent += 1
         if spent > effort:
             raise SolverError("rounding found no solution within its effort" if chosen is None else "rounding found no solution proven nearest within its effort")
-        if (want < 0).any() or (want > left[k]).any() or done + float(price @ want) + bound[k] >= best - 1e-12:
+        if (want < least[k]).any() or (want > left[k]).any() or done + float(price @ want) + bound[k] >= best - 1e-12:
             continue
         if k == len(todo):
             best, chosen = done, picks
             continue
         v = todo[k]
         less = want.copy()
-        less[rows_of[v]] -= 1
+        less[rows_of[v]] -= weights_of[v]
         options = [(k + 1, done, want, picks), (k + 1, done + cost[v], less, (*picks, v))]
         stack += options if reduced[v] < 0 else options[::-1]
     if chosen is None:
@@ -257,32 +265,32 @@ def round_general(whole: np.ndarray, part: np.ndarray, row: np.ndarray, var: np.
     return whole + y
 
 
-def _prices(cost: np.ndarray, need: np.ndarray, row: np.ndarray, var: np.ndarray, steps: int = 300) -> np.ndarray:
+def _prices(cost: np.ndarray, need: np.ndarray, row: np.ndarray, var: np.ndarray, w: np.ndarray, steps: int = 300) -> np.ndarray:
     """Prices of the rows at which choosing cells by reduced cost alone bounds the least cost well from below."""
     n, m = len(cost), len(need)
     price, best, top = np.zeros(m), np.zeros(m), -np.inf
     for t in range(steps):
-        reduced = cost - np.bincount(var, price[row], n)
+        reduced = cost - np.bincount(var, w * price[row], n)
         value = float(price @ need) + float(np.minimum(reduced, 0).sum())
         if value > top:
             top, best = value, price.copy()
-        slope = need - np.bincount(row, (reduced < 0)[var], m)
+        slope = need - np.bincount(row, w * (reduced < 0)[var], m)
         if not slope.any():
             break
         price = price + slope / (np.abs(slope).max() * (1 + t / 4))
     return best
 
 
-def solve(c: np.ndarray, column_sum: np.ndarray | None, sums: list[tuple[int, np.ndarray, int]], tie: np.ndarray, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def solve(c: np.ndarray, column_sum: np.ndarray | None, sums: list[tuple], tie: np.ndarray, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(relaxed, rounded) of one parent's children.
 
-    c, tie, open_: (children, cells); column_sum: the parent's cells, or None for the root; sums: (child, cells, total).
-    Cells that aren't open are empty.
+    c, tie, open_: (children, cells); column_sum: the parent's cells, or None for the root; sums: (child, cells, total)
+    or (child, cells, total, weights), None being ones. Cells that aren't open are empty.
     """
     K, n = c.shape
     number = np.full((K, n), -1)
     number[open_] = np.arange(open_.sum())
-    row, var, b = [], [], []
+    row, var, b, weight = [], [], [], []
     if column_sum is not None:
         k, j = np.nonzero(open_)
         used = np.flatnonzero(open_.any(axis=0))
@@ -290,23 +298,26 @@ def solve(c: np.ndarray, column_sum: np.ndarray | None, sums: list[tuple[int, np
         at[used] = np.arange(len(used))
         if column_sum[~open_.any(axis=0)].any():
             raise InfeasibleError("a parent has records in a cell that all its children must leave empty")
-        row, var, b = [at[j]], [number[k, j]], [column_sum[used]]
+        row, var, b, weight = [at[j]], [number[k, j]], [column_sum[used]], [np.ones(len(j), np.int64)]
     base = len(b[0]) if b else 0
     row_of, disjoint = np.full((K, n), -1), True
-    for s, (k, cells, _) in enumerate(sums):
-        cells = cells[open_[k, cells]]
+    for s, (k, cells, _, *weights) in enumerate(sums):
+        w = np.ones(len(cells), np.int64) if not weights or weights[0] is None else np.asarray(weights[0], np.int64)
+        w, cells = w[open_[k, cells]], cells[open_[k, cells]]
+        disjoint &= bool((w == 1).all())
+        weight.append(w)
         disjoint &= bool((row_of[k, cells] < 0).all())
         row_of[k, cells] = s
         row.append(np.full(len(cells), base + s))
         var.append(number[k, cells])
-    b.append(np.array([t for *_, t in sums], float))
-    row, var = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (row, var))
+    b.append(np.array([x[2] for x in sums], float))
+    row, var, weight = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (row, var, weight))
     b = np.concatenate(b).astype(float)
     x = np.zeros((K, n))
-    x[open_] = relax(c[open_].astype(float), row, var, b, apart=base)
+    x[open_] = relax(c[open_].astype(float), row, var, b, apart=base, weight=weight)
     whole, part = snapped(x)
     if disjoint:
         return x, round_margins(whole, part, row_of, column_sum, b[base:], tie, open_)
     out = np.zeros((K, n), np.int64)
-    out[open_] = round_general(whole[open_], part[open_], row, var, b, tie[open_])
+    out[open_] = round_general(whole[open_], part[open_], row, var, b, tie[open_], weight=weight)
     return x, out

@@ -72,6 +72,11 @@ class TopDown:
         self.constraints.add(c, level)
         return self
 
+    def set_constraint_to_node(self, path: list | tuple, c) -> TopDown:
+        """``path``: the node's hierarchy values from below the root on."""
+        self.constraints.add_at(tuple(path), c)
+        return self
+
     # phases
     def _timed(self, what: str, since: float) -> float:
         log.info("%s: %.2f s", what, time.time() - since)
@@ -106,7 +111,8 @@ class TopDown:
     def estimation_phase(self) -> TopDown:
         t = time.time()
         held = [constraints.compile_level(self.constraints.at(k), self.domain, self.records, self.nodes[k], self.hierarchy[:k]) for k in range(len(self.levels))]
-        self.estimates = estimate.estimate(self.measured, self.hierarchy, held, self.tie_seed)
+        self.estimates = []
+        estimate.estimate(self.measured, self.hierarchy, held, self.tie_seed, self.estimates)
         self._timed("estimates", t)
         return self
 
@@ -122,6 +128,14 @@ class TopDown:
     def check_correctness(self) -> None:
         synthesis.check_correctness(self.estimates, self.hierarchy)
 
+    def equations(self, level: int | None = None) -> DataFrame:
+        """(*path, constraint, cell_id, weight, rhs) of a level; by default of the one at which the estimates ended.
+
+        Meant for ``InfeasibleError``: rows to filter by the path in its message, or to write somewhere.
+        """
+        k = min(len(getattr(self, "estimates", ())), len(self.hierarchy)) if level is None else level
+        return constraints.equations(self.constraints.at(k), self.domain, self.records, self.nodes[k], self.hierarchy[:k])
+
     def tree(self) -> DataFrame:
         """(level, *hierarchy, cell_id, n, noisy, relaxed, x): all nodes in one frame."""
         return histogram.stacked(self.estimates, self.hierarchy, ["cell_id", "n", "noisy", "relaxed", "x"])

@@ -137,6 +137,56 @@ def test_infeasible(spark, records):
         e.run()
 
 
+def test_weighted_sum(spark, records):
+    """At the root, i counts as its value: 4 records of 1 and 2 of 2, but the one with a null is in no cell."""
+    e = engine(spark, records)
+    e.set_constraint_to_level(0, C.WeightedSumEqual(TrueExpression(), F.col("i"), 7))
+    e.run()
+    e.check_correctness()
+    for level in e.estimates:
+        assert level.join(e.domain, "cell_id").agg(F.sum(F.col("x") * F.col("i"))).first()[0] == 7
+    with pytest.raises(ValueError, match="whole numbers"):
+        bad = engine(spark, records).set_constraint_to_level(0, C.WeightedSumEqual(TrueExpression(), F.col("i") / 4, 7))
+        bad.run()
+
+
+def test_constraints_of_one_node(spark, records):
+    e = engine(spark, records, "seeded_laplace", (9, 9, 9))
+    e.set_constraint_to_level(0, C.SumEqualRealTotal(TrueExpression()))
+    e.set_constraint_to_node(["b"], C.SumEqual(TrueExpression(), 2))
+    e.set_constraint_to_node(["a", "y"], NotEqual("s", "p"))
+    e.run()
+    e.check_correctness()
+    x = {(r.g, r.h, r.s): r.x for r in e.estimates[2].join(e.domain, "cell_id").groupBy("g", "h", "s").agg(F.sum("x").alias("x")).collect()}
+    assert sum(v for k, v in x.items() if k[0] == "b") == 2 and sum(x.values()) == 6 and x["a", "y", "p"] == 0
+    # the other parents of that level are estimated as without it
+    plain = engine(spark, records, "seeded_laplace", (9, 9, 9))
+    plain.set_constraint_to_level(0, C.SumEqualRealTotal(TrueExpression()))
+    plain.set_constraint_to_node(["b"], C.SumEqual(TrueExpression(), 2))
+    plain.run()
+    cells = lambda f: {(r.h, r.cell_id): (r.relaxed, r.x) for r in f.estimates[2].where("g = 'b'").collect()}
+    assert cells(e) == cells(plain)
+    for path in (["c"], ["a", "q"]):
+        with pytest.raises(ValueError, match="no such node"):
+            engine(spark, records).set_constraint_to_node(path, Equal("i", 1)).run()
+    with pytest.raises(ValueError, match="no level"):
+        engine(spark, records).set_constraint_to_node(["a", "x", "z"], Equal("i", 1))
+    root = engine(spark, records).set_constraint_to_node([], C.SumEqual(Equal("i", 1), 3))
+    root.run()
+    assert root.estimates[0].join(root.domain, "cell_id").where("i = 1").agg(F.sum("x")).first()[0] == 3
+
+
+def test_equations_of_what_cannot_hold(spark, records):
+    e = engine(spark, records)
+    e.set_constraint_to_level(1, C.SumEqual(Equal("i", 1), 7)).set_constraint_to_level(0, NotEqual("s", "q"))
+    with pytest.raises(Exception, match="under the root"):
+        e.run()
+    rows = e.equations().collect()  # the root went well, its children didn't
+    assert len(e.estimates) == 1 and {(r.g, r.weight, r.rhs) for r in rows} == {("a", 1, 7), ("b", 1, 7)} and len(rows) == 4
+    assert {r.constraint for r in e.equations(0).collect()} == {repr(c) for c in e.constraints.at(0)}
+    assert e.equations(2).count() == 0
+
+
 def test_levels():
     c = C.SumEqual(TrueExpression(), 1)
     documented, offset = C.Registry(3), C.Registry(3, "offset")

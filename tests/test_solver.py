@@ -106,6 +106,41 @@ def test_overlapping_sums_are_rounded_to_the_nearest():
     assert solver.round_general(whole, part, row, var, np.array([1, 1]), np.zeros(3)).tolist() == [0, 1, 0]
 
 
+def test_weighted_sums():
+    """Relaxed to the nearest point (its distance along feasible directions) and rounded to the nearest, by enumeration."""
+    rng, solved = np.random.default_rng(21), 0
+    for _ in range(80):
+        n, m = int(rng.integers(3, 9)), int(rng.integers(1, 4))
+        A = rng.integers(-2, 4, (m, n)) * (rng.random((m, n)) < 0.7)
+        row, var = np.nonzero(A)
+        weight, truth = A[row, var], rng.poisson(2, n)
+        c, b = truth + rng.normal(0, 2, n), A @ truth
+        x = solver.relax(c, row, var, b.astype(float), weight=weight)
+        assert (x >= 0).all() and np.allclose(A @ x, b, atol=1e-3)
+        # the truth is feasible, so no step towards it comes nearer
+        z = x + 1e-3 * (truth - x)
+        assert ((z - c) ** 2).sum() >= ((x - c) ** 2).sum() - 1e-5
+        whole, part = rng.integers(0, 4, n), np.where(rng.random(n) < 0.4, 0.0, rng.random(n))
+        b = A @ (whole + (rng.random(n) < 0.5))
+        best = min(((part - z) ** 2).sum() for bits in itertools.product((0, 1), repeat=n) for z in [np.array(bits)] if (A @ (whole + z) == b).all())
+        got = solver.round_general(whole, part, row, var, b, np.zeros(n), weight=weight) - whole
+        assert (A @ (whole + got) == b).all() and ((part - got) ** 2).sum() == pytest.approx(best, abs=1e-9)
+        solved += 1
+    assert solved == 80
+    # children of one parent: the parent's cells beside a weighted sum of each child
+    for _ in range(30):
+        K, n = int(rng.integers(2, 4)), int(rng.integers(2, 5))
+        truth, w = rng.poisson(2, (K, n)), rng.integers(1, 4, n)
+        sums = [(k, np.arange(n), int(truth[k] @ w), w) for k in range(K)]
+        try:
+            x, y = solver.solve(truth + rng.integers(-1, 2, (K, n)), truth.sum(axis=0), sums, rng.random((K, n)), np.ones((K, n), bool))
+        except InfeasibleError as e:
+            assert "rounding" in str(e)  # weights may leave no rounding by less than one
+            continue
+        assert np.allclose(x.sum(axis=0), truth.sum(axis=0), atol=1e-3) and np.allclose(x @ w, truth @ w, atol=1e-3)
+        assert (y.sum(axis=0) == truth.sum(axis=0)).all() and (y @ w == truth @ w).all() and (y >= 0).all()
+
+
 def test_an_end_of_effort_is_an_error():
     rng, failed, whole = np.random.default_rng(12), 0, np.zeros(12, int)
     for _ in range(15):
