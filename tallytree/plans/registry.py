@@ -491,6 +491,37 @@ def estimate_overlapping(spark, sf_dir):
     return out.unionByName(errors.select(F.lit("sum_errors").alias("what"), "n_errors"))
 
 
+class _WeightedTotal(constraints.ContextualAggregateConstraint):
+    """The root's cells, records with 'R' counting threefold and those with 'A' twofold, add up to what the records say."""
+
+    def weights(self):
+        return _flag_weight()
+
+
+def _flag_weight():
+    return F.when(F.col("l_returnflag") == "R", 3).when(F.col("l_returnflag") == "A", 2).otherwise(1)
+
+
+@query(f"WITH rec AS ({LINEITEMS.oracle}) SELECT k::INT AS level, sum(CASE l_returnflag WHEN 'R' THEN 3 WHEN 'A' THEN 2 ELSE 1 END)::BIGINT AS weighted_sum FROM rec, range(4) t(k) GROUP BY k")
+def estimate_weighted(spark, sf_dir):
+    """With noise; all levels add up to the weighted sum that the root was given."""
+    engine = _engine(spark, sf_dir, LINEITEMS, _DEEP)
+    engine.set_constraint_to_level(0, _WeightedTotal(X.TrueExpression(), F.sum(_flag_weight())))
+    engine.initialize().measurement_phase().estimation_phase()
+    return engine.tree().join(F.broadcast(engine.domain), "cell_id").groupBy(F.col("level").cast("int").alias("level")).agg(F.sum(F.col("x") * _flag_weight()).cast("long").alias("weighted_sum"))
+
+
+@query(f"WITH rec AS ({LINEITEMS.oracle}) SELECT 'ASIA' AS r_name, 'A' AS l_returnflag, count(*) AS n FROM rec WHERE r_name = 'ASIA' AND l_returnflag = 'A' UNION ALL SELECT 'EUROPE', 'R', 0::BIGINT")
+def estimate_of_one_node(spark, sf_dir):
+    """With noise; one node has a real sum and another a rule, the others neither."""
+    engine = _engine(spark, sf_dir, LINEITEMS, _DEEP)
+    engine.set_constraint_to_node(["ASIA"], constraints.ContextualAggregateConstraint(X.Equal("l_returnflag", "A"), F.count(F.when(F.col("l_returnflag") == "A", 1))))
+    engine.set_constraint_to_node(["EUROPE"], X.NotEqual("l_returnflag", "R"))
+    engine.initialize().measurement_phase().estimation_phase()
+    cells = engine.estimates[1].join(F.broadcast(engine.domain), "cell_id")
+    return cells.where("(r_name, l_returnflag) IN (('ASIA', 'A'), ('EUROPE', 'R'))").groupBy("r_name", "l_returnflag").agg(F.sum("x").alias("n"))
+
+
 # --- reconstruction and audit ----------------------------------------------------------------------------
 
 
