@@ -48,6 +48,9 @@ class Pieces:
                 text = piece.replace("▁", " ")
                 self.table[text] = (i, m.get_score(i))
                 self.raw[i] = text.encode()
+        crossing = [p for p in self.table if not _CHUNKS.fullmatch(p)]
+        if crossing or m.vocab_size() > 1 << 16:
+            raise ValueError(f"{path}: pieces may not go on after a newline or to a space after another character, as {crossing[0]!r} does" if crossing else f"{path}: ids must fit 16 bits")
         self.begins = {p[:k] for p in self.table for k in range(1, len(p) + 1)}
         self.lowest = min((s for _, s in self.table.values() if s > -1e8), default=0.0) - 10
         self.most = max(map(len, self.table))

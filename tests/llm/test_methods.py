@@ -222,6 +222,28 @@ def test_n_best(text):
         assert all(v.decode(i.tolist()) == text for i, _ in got)
 
 
+@pytest.mark.parametrize("piece", ["a▁", "a▁b", "\n\n", "▁\n", "a\n"])
+def test_pieces_that_cross_chunks_are_refused(monkeypatch, piece):
+    """The lattice falls apart into chunks only if no piece goes over their borders."""
+    import sentencepiece
+
+    class Model:
+        names = ["a", "b", "▁▁a"]
+
+        def __init__(self, model_file):
+            self.is_byte = self.is_control = self.is_unknown = self.is_unused = lambda i: False
+
+        vocab_size = lambda self: len(self.names)
+        id_to_piece = lambda self, i: self.names[i]
+        get_score = lambda self, i: -float(i)
+
+    monkeypatch.setattr(sentencepiece, "SentencePieceProcessor", Model)
+    assert len(pieces.Pieces("some").table) == 3
+    Model.names = [*Model.names, piece]
+    with pytest.raises(ValueError, match="may not go on"):
+        pieces.Pieces("some")
+
+
 def test_pieces_round_trip(spark):
     assert all(r.round_trip for r in queries.QUERIES["op7_sentencepiece"](spark, f"{DATA}/sf0.001").collect())
     docs = common.table(spark, f"{DATA}/sf0.001", "documents")
