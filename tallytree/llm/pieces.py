@@ -29,6 +29,9 @@ from .hashing import mixed
 
 MODEL, BEST, CACHE = "/opt/tokenizers/piece_bpe_32k.model", 4, 150_000
 _CHUNKS = re.compile(r" *[^ \n]+| +|\n")
+#: Chunks up to so many characters are solved together; by length, the width that holds it.
+_WIDTHS = (8, 12, 20, 40)
+_WIDTH_OF = [next(w for w in _WIDTHS if n <= w) for n in range(_WIDTHS[-1] + 1)]
 
 
 class Pieces:
@@ -170,24 +173,26 @@ class Pieces:
 
     def solve(self, lists: list[list[str]]) -> None:
         """Puts all chunks of a batch of texts into the cache; only texts of one batch may be looked up afterwards."""
-        need = {c for x in lists for c in x}
+        need = set().union(*lists)
         if len(self.young) + len(need) > CACHE:
             self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        new: dict[int, list[str]] = {}
-        for c in need:
-            if c not in young:
-                if (r := old.get(c)) is not None:
-                    young[c] = r
-                else:
-                    new.setdefault(next((w for w in (8, 12, 20, 40) if len(c) <= w), 0), []).append(c)
+        young = self.young
+        missing = need.difference(young)
+        known = missing.intersection(self.old)
+        young.update(zip(known, map(self.old.__getitem__, known), strict=True))
+        missing -= known
+        new: dict[int, list[str]] = {w: [] for w in (*_WIDTHS, 0)}
+        for c in missing:
+            new[_WIDTH_OF[len(c)] if len(c) < len(_WIDTH_OF) else 0].append(c)
         for width, group in new.items():
             for k in range(0, len(group), 1 << 14):
                 part = group[k : k + (1 << 14)]
                 young.update(zip(part, self.chunks_at_once(part) if width else map(self.chunk, part), strict=True))
 
-    def solved(self, chunks: list[str]) -> list[tuple[bytes, float, float]]:
-        return [self.young[c] for c in chunks]
+    def solved(self, chunks: list[str]) -> tuple[list[bytes], list[float], list[float]]:
+        """The chunks' ids, scores and losses."""
+        found = list(map(self.young.__getitem__, chunks))
+        return [r[0] for r in found], [r[1] for r in found], [r[2] for r in found]
 
     def n_best(self, text: str, n: int) -> list[tuple[list[int], float]]:
         """The best ``n`` segmentations of one lattice, best first, by backward A-star."""
@@ -209,27 +214,27 @@ class Pieces:
 
     def encode(self, text: str, n: int = 1) -> list[tuple[np.ndarray, float]]:
         """The best ``n`` segmentations of a text, as ids and scores."""
-        if not text:
-            return [(np.zeros(0, np.uint16), 0.0)]
-        chunks = _CHUNKS.findall(" " + text)
+        chunks = _CHUNKS.findall(" " + text) if text else []
         self.solve([chunks])
-        found = self.solved(chunks)
-        ids = [r[0] for r in found]
-        score = float(sum([r[1] for r in found]))
+        return self.best_of(chunks, n)
+
+    def best_of(self, chunks: list[str], n: int) -> list[tuple[np.ndarray, float]]:
+        """The same for the chunks of a text, which ``solve`` was given."""
+        ids, scores, losses = self.solved(chunks)
+        score = float(sum(scores))
         out = [(np.frombuffer(b"".join(ids), np.uint16), score)]
-        for changes, s in self._others(chunks, found, score, n):
+        for changes, s in self._others(chunks, losses, score, n):
             other = list(ids)
             for k, own in changes:
                 other[k] = np.array(own, np.uint16).tobytes()
             out.append((np.frombuffer(b"".join(other), np.uint16), s))
         return out
 
-    def _others(self, chunks: list[str], found: list, score: float, n: int) -> list[tuple[list[tuple[int, list[int]]], float]]:
+    def _others(self, chunks: list[str], losses: list[float], score: float, n: int) -> list[tuple[list[tuple[int, list[int]]], float]]:
         """The second to n-th best of a text as changed chunks and scores: a best-first search over the chunks' own lists."""
         if n < 2:
             return []
-        losses = [r[2] for r in found]
-        least = heapq.nsmallest(n - 1, range(len(losses)), key=losses.__getitem__)
+        least = np.argsort(losses, kind="stable")[: n - 1].tolist()
         lists = [(k, self.n_best(chunks[k], n)) for k in sorted(least) if losses[k] < np.inf]
         # each state chooses a rank in the first lists; a state's successors raise the rank of its last chosen list or of a later one
         heap, out, tick = [], [], 0
@@ -253,7 +258,7 @@ class Pieces:
 
     def decode(self, ids) -> str:
         raw = self.raw
-        text = b"".join([raw[i] for i in ids])
+        text = b"".join(map(raw.__getitem__, ids))
         return text[1:].decode() if text else ""
 
 
@@ -280,8 +285,9 @@ def encode(docs: DataFrame, best: int = 1, model: str = MODEL) -> DataFrame:
 
     def make(batch: pa.RecordBatch) -> dict:
         v, raw = pieces(model), [t.decode() for t in common.texts(batch.column(1))]
-        v.solve([_CHUNKS.findall(" " + t) for t in raw])
-        found = [v.encode(t, best) for t in raw]
+        lists = [_CHUNKS.findall(" " + t) if t else [] for t in raw]
+        v.solve(lists)
+        found = [v.best_of(chunks, best) for chunks in lists]
         ids = _lists([x[0][0] for x in found])
         later = [x[1:] for x in found]
         others = pa.StructArray.from_arrays([_lists([i for x in later for i, _ in x]), pa.array([s for x in later for _, s in x], pa.float64())], names=["ids", "score"])
@@ -312,9 +318,9 @@ def digests(docs: DataFrame, best: int = BEST, model: str = MODEL) -> DataFrame:
         lists = [_CHUNKS.findall(" " + t) if t else [] for t in raw]
         v.solve(lists)
         for text, chunks in zip(raw, lists, strict=True):
-            found = v.solved(chunks)
-            ids, score = b"".join([r[0] for r in found]), float(sum([r[1] for r in found]))
-            others = [s for _, s in v._others(chunks, found, score, best)]
+            parts, scores, losses = v.solved(chunks)
+            ids, score = b"".join(parts), float(sum(scores))
+            others = [s for _, s in v._others(chunks, losses, score, best)]
             rows.append((len(ids) // 2, score, others, hashlib.sha256(ids).hexdigest(), v.decode(np.frombuffer(ids, np.uint16).tolist()) == text))
         return {"doc_id": batch.column(0)} | {k: [r[i] for r in rows] for i, k in enumerate(("n_pieces", "score", "other_scores", "ids_sha256", "round_trip"))}
 
