@@ -1,7 +1,7 @@
 """A training-data pipeline over ``documents``: each stage reads what its predecessor kept.
 
 The quality classifier drops what it rejects, SimHash near-dedup keeps one document of each group,
-suffix-array dedup cuts repeated passages out of the texts, decontamination drops documents with
+suffix-array dedup cuts repeated passages (400 bytes or 51 words) out of the texts, decontamination drops documents with
 benchmark passages, and the rest is encoded to SentencePiece ids, the best segmentation's and those of the
 following ones (``others``).
 """

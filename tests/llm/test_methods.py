@@ -65,6 +65,59 @@ def test_suffix_dedup(spark, group, anchor):
     assert Counter(tuple(r)[1:] for r in got) == Counter(want)
 
 
+def brute_spans(texts, length, words):
+    """Texts without the bytes in strings of ``length`` and runs of ``words`` words that start elsewhere too, and how many those are."""
+    found = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", t)] for t in texts]
+    units = [[t[a:b] for a, b in own] for t, own in zip(texts, found, strict=True)]
+    runs = Counter(tuple(u[i : i + words]) for u in units for i in range(len(u) - words + 1))
+    strings = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
+    out = []
+    for t, own, u in zip(texts, found, units, strict=True):
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - length + 1):
+            if strings[t[i : i + length]] > 1:
+                gone[i : i + length] = True
+        for i in range(len(u) - words + 1):
+            if runs[tuple(u[i : i + words])] > 1:
+                gone[own[i][0] : own[i + words - 1][1]] = True
+        out.append((bytes(b for b, g in zip(t, gone, strict=True) if not g).decode(errors="ignore"), int(gone.sum())))
+    return out
+
+
+@pytest.mark.parametrize("group", [60_000, 2])
+def test_suffix_dedup_by_words(spark, group):
+    """Passages of over 50 words and fewer than 400 bytes, whatever white space stands between the words."""
+    rng = random.Random(group)
+    words = ["".join(rng.choices("abcdeé", k=rng.randint(1, 6))) for _ in range(300)]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    passages, rows = [text(n).split() for n in (50, 51, 58, 64)], []
+    for k in range(60):
+        parts = [text(rng.randint(0, 40))]
+        for _ in range(rng.randint(0, 2)):
+            parts += [rng.choice([" ", "\n", " \t "]).join(rng.choice(passages)[rng.randint(0, 6) :]), text(rng.randint(1, 30))]
+        rows.append((k, " ".join(parts)))
+    rows += [(100, "a " * 80), (101, text(50)), (102, rows[3][1].replace(" ", "  ")), (None, "\n" + rows[4][1]), (103, None), (104, "z" * 390 + " " + "z" * 390)]
+    texts = [(t or "").encode() for _, t in rows]
+    want = brute_spans(texts, 400, 51)
+    assert want != brute_spans(texts, 400, 10**6) and any(0 < n < 400 for _, n in want)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter((r.text, r.n_removed) for r in suffixes.suffix_dedup(df, group=group).collect()) == Counter(want)
+    assert Counter((r.text, r.n_removed) for r in suffixes.suffix_dedup(df, group=group, words=0).collect()) == Counter(brute_spans(texts, 400, 10**6))
+    assert Counter(r.text or "" for r in suffixes.drop_repeats(df, group=group).collect()) == Counter(t for t, _ in want)
+
+
+def test_pipeline_cuts_passages_of_over_50_words(spark):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    text = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(n))
+    passage, alone, begins, ends = text(55), text(300), [text(60), text(70)], [text(80), text(20)]
+    assert len(passage) < 350
+    docs = spark.createDataFrame([*((k, f"{a} {passage} {b}") for k, (a, b) in enumerate(zip(begins, ends, strict=True))), (2, alone)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.suffix_array_dedup(spark, docs, "").collect()}
+    assert got == {0: f"{begins[0]}  {ends[0]}", 1: f"{begins[1]}  {ends[1]}", 2: alone}
+
+
 def test_suffix_dedup_of_whole_documents(spark):
     docs = common.table(spark, f"{DATA}/sf0.001", "documents")
     got = {r.doc_id: tuple(r)[1:] for r in queries.QUERIES["op2_suffix_dedup"](spark, f"{DATA}/sf0.001").collect()}
